@@ -78,6 +78,7 @@ class StarSchema:
                 F.col("l_returnflag").alias("return_flag"),
                 F.col("l_tax").alias("tax"),
                 F.col("l_quantity").alias("quantity"),
+                "l_orderkey",
             )
         )
 
@@ -117,6 +118,7 @@ class StarSchema:
     def groups(self) -> DataFrame:
         types = self.read("part").select("p_type").distinct()
         return types.select(
+            F.lower("p_type").alias("id"),
             F.lower("p_type").alias("code"),
             F.col("p_type").alias("name"),
             F.length("p_type").alias("sort_order"),
@@ -310,3 +312,133 @@ class StarSchema:
             F.col("line_key").alias("row_key"),
             "student_name", "grade", "grade_track", typed.alias("teacher_name"),
         )
+
+    # --- second batches -----------------------------------------------------
+
+    @cached_property
+    def given_teachers(self) -> DataFrame:
+        """The known teachers typed in capitals, and all customers as new ones."""
+        known = self.read("supplier").select(
+            F.concat(F.lit("  "), F.upper("s_name"), F.lit(" ")).alias("full_name")
+        )
+        return known.unionByName(self.read("customer").select(F.col("c_name").alias("full_name")))
+
+    @cached_property
+    def older_criteria(self) -> DataFrame:
+        """What was known of the cheaper parts before the batch."""
+        return self.read("part").where("p_retailprice < 950").select(
+            F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("code"),
+            F.lower("p_type").alias("criterion_group_id"),
+            F.col("p_name").alias("name"),
+            F.lit("old").alias("raw_value_label"),
+            F.col("p_size").cast("decimal(12,4)").alias("base_score"),
+            F.col("p_size").cast("decimal(12,4)").alias("max_dynamic_bonus"),
+            F.lit(True).alias("is_active"),
+            F.lit(0).alias("sort_order"),
+            F.lit("2020-01-01").cast("timestamp").alias("updated_at"),
+        )
+
+    @cached_property
+    def given_criteria(self) -> DataFrame:
+        return self.read("part").select(
+            F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("code"),
+            F.lower("p_type").alias("group_code"),
+            F.upper("p_name").alias("name"),
+            F.col("p_brand").alias("raw_value_label"),
+            (F.col("p_size") + 1).cast("decimal(12,4)").alias("base_score"),
+            (F.col("p_size") <= 45).alias("is_active"),
+            F.col("p_size").alias("sort_order"),
+        )
+
+    @cached_property
+    def older_weights(self) -> DataFrame:
+        return self._weights("F", F.min("quantity")).select(
+            "criterion_id", "grade", "grade_track", "weight_value"
+        )
+
+    @cached_property
+    def given_weights(self) -> DataFrame:
+        return self._weights("O", F.max("quantity")).select(
+            F.concat(F.lit("c"), F.col("criterion_id").cast("string")).alias("code"),
+            "grade", "grade_track", "weight_value",
+        )
+
+    def _weights(self, line_status: str, quantity: Column) -> DataFrame:
+        lines = self.lines.where(F.col("line_status") == line_status)
+        return lines.groupBy("criterion_id", "grade", "grade_track").agg(
+            (quantity / 100).cast("decimal(12,6)").alias("weight_value")
+        )
+
+    @cached_property
+    def given_settings(self) -> DataFrame:
+        price = F.col("o_totalprice").cast("decimal(14,2)")
+        return (
+            self.read("orders")
+            .groupBy(F.year("o_orderdate").cast("string").alias("period_name"))
+            .agg(
+                F.sum(F.when(F.col("o_orderstatus") == "O", price)).alias("total_fund"),
+                F.lit(0).cast("decimal(38,2)").alias("dismissed_fund"),
+            )
+        )
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """Every line item as a change to the first result of its order."""
+        first = self.lines.groupBy("l_orderkey").agg(F.min("line_key").alias("result_id"))
+        quantity, open_line = F.col("quantity"), F.col("line_status") == "O"
+        return self.lines.join(first, "l_orderkey").select(
+            F.col("line_key").alias("change_id"),
+            F.when(quantity == 49, "merge")
+            .when(F.col("return_flag") == "R", "delete")
+            .when(F.col("return_flag") == "A", "update")
+            .otherwise("create").alias("op"),
+            F.when(quantity == 31, F.concat(F.lit("x"), F.col("result_id")))
+            .otherwise(F.col("result_id")).alias("result_id"),
+            F.when(F.col("tax") != 0.01, F.col("student_id")).alias("student_id"),
+            F.when(quantity == 5, F.lit(-1)).otherwise(F.col("criterion_id")).alias("criterion_id"),
+            F.when(quantity == 7, F.lit(0)).otherwise(F.col("grade")).cast("smallint")
+            .alias("grade_at_result"),
+            F.when(quantity == 11, "evening").otherwise(F.col("grade_track")).alias("grade_track"),
+            F.when(quantity == 13, "n/a").when(F.col("dynamic_bonus") == 0, "")
+            .otherwise(F.col("dynamic_bonus").cast("string")).alias("dynamic_bonus"),
+            F.when(open_line, "").otherwise(F.col("return_flag")).alias("raw_result_value"),
+            F.when(quantity == 17, "bad").when(open_line, "")
+            .otherwise(F.date_format("ship_day", "yyyy-MM-dd")).alias("result_date"),
+            F.when(open_line, "").otherwise(F.lit("checked")).alias("comment"),
+            F.when(~open_line, F.concat(F.lit("user-"), F.col("teacher_id").cast("string")))
+            .alias("actor_name"),
+        )
+
+    # --- rows that break rules ----------------------------------------------
+
+    @cached_property
+    def broken_results(self) -> DataFrame:
+        """Results with something wrong at certain quantities and taxes."""
+        quantity = F.col("quantity")
+        return self.lines.select(
+            F.col("line_key").alias("id"),
+            "academic_period_id",
+            F.when(quantity != 3, F.col("student_id")).alias("student_id"),
+            F.when(quantity == 2, F.lit(-1)).otherwise(F.col("criterion_id")).alias("criterion_id"),
+            F.when(F.col("tax") == 0.08, F.col("grade") + 3).otherwise(F.col("grade"))
+            .cast("smallint").alias("grade_at_result"),
+            F.when(quantity == 11, "evening").otherwise(F.col("grade_track")).alias("grade_track"),
+            F.when(quantity == 50, -F.col("base_score")).otherwise(F.col("base_score"))
+            .alias("base_score"),
+            F.when(F.col("tax") != 0, F.col("dynamic_bonus")).alias("dynamic_bonus"),
+            F.when(quantity == 1, F.repeat(F.lit("x"), 101)).otherwise(F.col("return_flag"))
+            .alias("raw_result_value"),
+        )
+
+    @cached_property
+    def wide_numbers(self) -> DataFrame:
+        """Scores as text, some too large for their column."""
+        return self.lines.select(
+            F.col("line_key").alias("id"),
+            F.concat(
+                F.col("quantity").cast("int").cast("string"),
+                F.when(F.col("quantity") > 45, "00000000").otherwise(""),
+            ).alias("base_score"),
+            F.when(F.col("quantity") == 13, "n/a")
+            .otherwise(F.col("dynamic_bonus").cast("string")).alias("dynamic_bonus"),
+        )
