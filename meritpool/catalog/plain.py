@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = {
-    "avg_group_size": 8, "normalization_factor": 8, "normalized_share_percent": 8,
-    "reverse_weight": 8, "total_reverse_weight": 8, "employee_share": 8,
+    "avg_group_size": 8, "normalization_factor": 8, "normalized_share_percent": 10,
+    "reverse_weight": 10, "total_reverse_weight": 10, "employee_share": 10,
     "raw_points": 6, "raw_points_by_student": 6, "normalized_points": 6,
     "total_normalized_points": 5, "score": 4, "weight_value": 6,
     "total_fund": 2, "dismissed_fund": 2, "distributable_fund": 2, "uvsotr_value": 2,
     "reverse_incentive_amount": 2, "normalized_fund_amount": 2, "final_amount": 2,
+    "Raw points": 6, "Normalized points": 6, "Reverse incentive": 2, "Normalized fund": 2,
 }
 
 

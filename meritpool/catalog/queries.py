@@ -433,10 +433,9 @@ def result_import_rejected(s):
 # --- changes ----------------------------------------------------------------
 
 
-def _applied(s):
-    return ch.apply_changes(
-        s.changes, s.results, s.links, s.items, s.students, s.criteria, s.enrollments,
-        s.periods, LOAD_YEAR,
+def _batch(s):
+    return ch.ChangeBatch(
+        s.changes, s.results, s.students, s.criteria, s.enrollments, s.periods, LOAD_YEAR,
         with_ids=lambda rows: rows.withColumn("id", F.concat(F.lit("new-"), F.col("change_id"))),
     )
 
@@ -450,42 +449,42 @@ _WRITTEN = [
 
 @query
 def changes_created(s):
-    return _applied(s).created.select("id", *_WRITTEN)
+    return _batch(s).created.select("id", *_WRITTEN)
 
 
 @query
 def changes_updated(s):
-    return _applied(s).updated.select("result_id", "change_id", *_WRITTEN)
+    return _batch(s).updated.select("result_id", "change_id", *_WRITTEN)
 
 
 @query
 def changes_deleted(s):
-    return _applied(s).deleted
+    return _batch(s).deleted
 
 
 @query
 def changes_rejected(s):
-    return _applied(s).rejected.select("change_id", F.array_join("rules", ",").alias("rules"))
+    return _batch(s).rejected.select("change_id", F.array_join("rules", ",").alias("rules"))
 
 
 @query
 def changes_results(s):
-    return _applied(s).results.select("id", *_WRITTEN)
+    return _batch(s).results_after.select("id", *_WRITTEN)
 
 
 @query
 def changes_links(s):
-    return _applied(s).links
+    return _batch(s).children_after(s.links)
 
 
 @query
 def changes_items(s):
-    return _applied(s).items
+    return _batch(s).children_after(s.items)
 
 
 @query
 def changes_log(s):
-    return _applied(s).log.drop("created_at")
+    return _batch(s).log.drop("created_at")
 
 
 # --- validity rules ---------------------------------------------------------

@@ -24,14 +24,16 @@ def reverse_weight(points: Column) -> Column:
 
 
 def track_rank(track: Column) -> Column:
-    """Place of a track in declaration order, from 1; null stays null."""
-    return F.nullif(F.array_position(F.array(*map(F.lit, TRACKS)), track), F.lit(0))
+    """Place of a track in declaration order; null for any other word."""
+    ranks = [F.when(track == word, F.lit(place)) for place, word in enumerate(TRACKS)]
+    return F.coalesce(*ranks)
 
 
 def max_track(track: Column) -> Column:
     """Highest track by declaration order (a maximum of the words would go by
-    the alphabet)."""
-    return F.element_at(F.array(*map(F.lit, TRACKS)), F.max(track_rank(track)).cast("int"))
+    the alphabet); null where no row has one."""
+    highest = F.max(track_rank(track))
+    return F.coalesce(*[F.when(highest == place, F.lit(w)) for place, w in enumerate(TRACKS)])
 
 
 def is_number_or_empty(text: Column) -> Column:

@@ -73,6 +73,8 @@ def skew_join(
     how: str,
     spread_by: Sequence[str],
     hot_rows: int = HOT_ROWS,
+    hot_in: DataFrame | None = None,
+    hot_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join of many ``left`` rows to ``right``, hot keys salted.
 
@@ -80,11 +82,15 @@ def skew_join(
     a hot key go to one of SALTS tasks by their hash, which is the same when a
     task is run again; the matching right rows are repeated once per salt.
     ``how`` is any join that keeps or drops left rows.
+
+    Where ``left`` is costly to compute, ``hot_in`` names a cheaper frame to
+    look for hot keys in, and ``hot_on`` the key columns that it holds.
     """
-    hot = hot_key_hashes(left, keys, hot_rows)
+    hot_on = list(hot_on or keys)
+    hot = hot_key_hashes(left if hot_in is None else hot_in, hot_on, hot_rows)
     if not hot:
         return left.join(right, list(keys), how)
-    is_hot = F.xxhash64(*keys).isin(hot)
+    is_hot = F.xxhash64(*hot_on).isin(hot)
     salted_left = left.withColumn(
         "_salt", F.when(is_hot, _salt(spread_by, SALTS)).otherwise(F.lit(0))
     )

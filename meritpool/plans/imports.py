@@ -113,11 +113,10 @@ def assignment_rows(
     of the matrix (the pool of departed staff does), so that join is the one
     that is kept balanced.
     """
-    places = (
-        keyed(keyed(matrix, "student_name"), "teacher_name", "teacher_key")
-        .select("name_key", "teacher_key", "grade", "grade_track")
-        .distinct()
+    named = keyed(keyed(matrix, "student_name"), "teacher_name", "teacher_key").select(
+        "name_key", "teacher_key", "grade", "grade_track"
     )
+    places = named.distinct()
     student_ids = students.select(
         name_key(F.col("full_name")).alias("name_key"), F.col("id").alias("student_id")
     )
@@ -125,7 +124,8 @@ def assignment_rows(
         name_key(F.col("short_name")).alias("teacher_key"), F.col("id").alias("teacher_id")
     )
     by_teacher = skew_join(
-        places, teacher_ids, ["teacher_key"], "inner", ["name_key", "grade", "grade_track"], hot_rows
+        places, teacher_ids, ["teacher_key"], "inner", ["name_key", "grade", "grade_track"],
+        hot_rows, hot_in=named,
     )
     rows = by_teacher.join(student_ids, "name_key").select(
         "student_id", "teacher_id", "grade", "grade_track",

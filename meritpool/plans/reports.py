@@ -155,12 +155,18 @@ def summary_export(summary: DataFrame) -> DataFrame:
     return headed(summary.orderBy("teacher_name", "academic_period"), SUMMARY_HEADINGS)
 
 
+def _settled(ratio: Column) -> Column:
+    """A double without the noise of its last digits, so that a half is shown
+    as a half."""
+    return F.round(ratio, 8)
+
+
 def summary_texts(summary: DataFrame) -> DataFrame:
     """The summary as report texts."""
     return summary.select(
         "academic_period", "teacher_name",
         *[
-            number_text(F.col(c)).alias(c)
+            number_text(_settled(F.col(c))).alias(c)
             for c in (
                 "student_count_with_results", "total_student_count", "raw_points",
                 "normalized_points", "normalized_fund_amount",
@@ -283,7 +289,7 @@ def card_texts(summary: DataFrame, calculation: DataFrame) -> DataFrame:
     return summary.join(stored, [PERIOD, "teacher_id"], "left").select(
         "academic_period", "teacher_name",
         number_text(F.col("raw_points")).alias("raw_points"),
-        number_text(F.col("normalized_fund_amount")).alias("normalized_fund_amount"),
+        number_text(_settled(F.col("normalized_fund_amount"))).alias("normalized_fund_amount"),
         yes_no(F.col("is_dismissed")).alias("is_dismissed"),
         number_text(F.col("stored_raw")).alias("stored_raw"),
         number_text(F.col("stored_normalized")).alias("stored_normalized"),

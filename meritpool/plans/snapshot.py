@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meritpool import schemas
 from meritpool.operators.joins import HOT_ROWS
@@ -27,6 +28,16 @@ STORED = {
 }
 
 
+def _stored(name: str, given: str, summary: DataFrame) -> Column:
+    """A summary column in its stored type. Ratios are doubles; the noise of
+    their last digits goes first, so that a half rounds as a half."""
+    kind = T.DataType.fromDDL(schemas.CALCULATIONS.column(name).type)
+    value = F.col(given)
+    if isinstance(summary.schema[given].dataType, T.DoubleType):
+        value = F.round(value, kind.scale + 4)
+    return F.coalesce(value, F.lit(0)).cast(kind).alias(name)
+
+
 def snapshot_rows(
     tables: Tables, periods: Sequence[int], calculated_at: Column | None = None,
     hot_rows: int = HOT_ROWS,
@@ -42,10 +53,7 @@ def snapshot_rows(
         tables.teachers.groupBy(F.col("full_name").alias("teacher_name"))
         .agg(F.min("id").alias("teacher_id"))
     )
-    stored = [
-        F.coalesce(F.col(given), F.lit(0)).cast(schemas.CALCULATIONS.column(name).type).alias(name)
-        for name, given in STORED.items()
-    ]
+    stored = [_stored(name, given, summary) for name, given in STORED.items()]
     return summary.join(first_ids, "teacher_name").select(
         PERIOD, "teacher_id", *stored,
         F.lit(None).cast("decimal(14,6)").alias("avg_group_ratio"),
@@ -88,7 +96,7 @@ def rebuild_period(
     spark = new.sparkSession
     if items_path is not None:
         columns = [f for f in schemas.ITEMS.struct.fields if f.name != PERIOD]
-        empty = spark.createDataFrame([], schemas.T.StructType(columns))
+        empty = spark.createDataFrame([], T.StructType(columns))
         write_period(empty.withColumn(PERIOD, F.lit(period_id).cast("bigint")), items_path, period_id)
     write_period(new, calculations_path, period_id)
     stored = spark.read.parquet(f"{calculations_path}/{PERIOD}={period_id}").withColumn(

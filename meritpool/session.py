@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -30,12 +30,24 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder once, for frames that several later
+    steps read. A lost executor does not take it along."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -63,6 +63,7 @@ class StarSchema:
                 F.concat_ws(
                     "-", _padded("l_orderkey", 12), _padded("l_linenumber", 2),
                     _padded("l_partkey", 12), _padded("l_suppkey", 10),
+                    F.date_format("l_shipdate", "yyyyMMdd"),
                 ).alias("line_key"),
                 "academic_period_id", "student_id",
                 F.col("l_suppkey").alias("teacher_id"),
