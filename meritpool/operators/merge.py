@@ -71,7 +71,7 @@ def upsert(
 def delete_keys(df: DataFrame, deleted: DataFrame, on: dict[str, str]) -> DataFrame:
     """Rows of ``df`` not named by ``deleted``; ``on`` maps df to deleted columns."""
     keys = deleted.select(*[F.col(d).alias(c) for c, d in on.items()])
-    return df.join(keys, list(on), "left_anti")
+    return df.join(keys, list(on), "left_anti").select(*df.columns)
 
 
 def set_null(df: DataFrame, deleted: DataFrame, column: str, deleted_key: str = "id") -> DataFrame:

@@ -31,7 +31,7 @@ STORED = {
 def _stored(name: str, given: str, summary: DataFrame) -> Column:
     """A summary column in its stored type. Ratios are doubles; the noise of
     their last digits goes first, so that a half rounds as a half."""
-    kind = T.DataType.fromDDL(schemas.CALCULATIONS.column(name).type)
+    kind = schemas.data_type(schemas.CALCULATIONS.column(name).type)
     value = F.col(given)
     if isinstance(summary.schema[given].dataType, T.DoubleType):
         value = F.round(value, kind.scale + 4)

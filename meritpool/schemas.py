@@ -24,6 +24,21 @@ ENUMS = {"track": TRACKS, "assignment_type": ASSIGNMENT_TYPES}
 NAME_KEY_SQL = r"lower(regexp_replace(trim({}), '\\s+', ' '))"
 
 
+_PLAIN_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "smallint": T.ShortType(),
+    "string": T.StringType(), "boolean": T.BooleanType(), "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def data_type(name: str) -> T.DataType:
+    """The type of a column by its name; works without a session."""
+    if name.startswith("decimal("):
+        precision, scale = name.removeprefix("decimal(").rstrip(")").split(",")
+        return T.DecimalType(int(precision), int(scale))
+    return _PLAIN_TYPES[name]
+
+
 @dataclass(frozen=True)
 class Column:
     name: str
@@ -56,7 +71,7 @@ class Table:
     @property
     def struct(self) -> T.StructType:
         return T.StructType(
-            [T.StructField(c.name, T.DataType.fromDDL(c.type)) for c in self.columns]
+            [T.StructField(c.name, data_type(c.type)) for c in self.columns]
         )
 
 
