@@ -48,11 +48,9 @@ def shown(expression: str) -> str:
 
 CTE = {
     "lines": """
-      SELECT concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'),
-               lpad(CAST(l_linenumber AS VARCHAR), 2, '0'),
-               lpad(CAST(l_partkey AS VARCHAR), 12, '0'),
-               lpad(CAST(l_suppkey AS VARCHAR), 10, '0'),
-               strftime(l_shipdate, '%Y%m%d')) AS line_key,
+      SELECT concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), l_linenumber,
+               l_partkey, l_suppkey,
+               date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS line_key,
              l_orderkey, CAST(year(o_orderdate) AS BIGINT) AS yr, o_custkey AS cust,
              l_suppkey AS supp, l_partkey AS part, l_linenumber + 4 AS grade,
              CASE l_returnflag WHEN 'N' THEN 'regular' WHEN 'A' THEN 'course'

@@ -36,15 +36,9 @@ def max_track(track: Column) -> Column:
     return F.coalesce(*[F.when(highest == place, F.lit(w)) for place, w in enumerate(TRACKS)])
 
 
-def is_number_or_empty(text: Column) -> Column:
-    filled = empty_to_null(F.trim(text))
-    return filled.isNull() | filled.try_cast("decimal(12,4)").isNotNull()
-
-
-def number_or_zero(text: Column) -> Column:
-    """Empty or missing text counts as 0; check ``is_number_or_empty`` first."""
-    filled = empty_to_null(F.trim(text))
-    return F.coalesce(filled.try_cast("decimal(12,4)"), F.lit(0).cast("decimal(12,4)"))
+def number_from_text(text: Column) -> Column:
+    """A score from form text; null where it is empty or no number."""
+    return empty_to_null(F.trim(text)).try_cast("decimal(12,4)")
 
 
 def missing_number(number: Column) -> Column:

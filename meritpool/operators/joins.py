@@ -121,3 +121,13 @@ def spread_join(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1)))
     )
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+
+
+def named_by(table: DataFrame, batch: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of a large table whose key a batch names.
+
+    With a batch small enough by Spark's size check, its keys are broadcast and
+    the table is filtered where it is read; only what is left takes part in the
+    joins to come.
+    """
+    return table.join(batch.select(*on).distinct(), list(on), "left_semi")

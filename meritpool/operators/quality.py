@@ -78,29 +78,39 @@ def _columns_of(table: Table, kind: str, rule: str) -> set[str]:
     return {c.name for c in table.columns if c.name in words}
 
 
-def broken_rules(rules: dict[str, Column]) -> Column:
-    """Names of the rules a row breaks, as an array."""
-    marks = [F.when(broken, F.lit(name)) for name, broken in rules.items()]
-    return F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
+def broken_text(rules: dict[str, Column]) -> Column:
+    """Names of the rules a row breaks, by commas; empty for a sound row."""
+    return F.concat_ws(",", *[F.when(broken, F.lit(name)) for name, broken in rules.items()])
+
+
+def rule_list(text: Column) -> Column:
+    """The names as an array. Kept as text until then, as text stays in
+    compiled code where a filter over an array would not."""
+    return F.when(text != "", F.split(text, ",")).otherwise(F.array().cast("array<string>"))
 
 
 def row_violations(
     df: DataFrame, table: Table, key: str = "id", kinds: Sequence[str] = tuple(ROW_RULES)
 ) -> DataFrame:
     """All rules of single rows in one pass over the table."""
-    broken = broken_rules(row_rules(table, df, kinds))
-    return df.select(
-        F.lit(table.name).alias("table_name"),
-        F.explode(broken).alias("rule"),
-        F.col(key).cast("string").alias("row_key"),
+    broken = broken_text(row_rules(table, df, kinds))
+    return (
+        df.select(F.col(key).cast("string").alias("row_key"), broken.alias("_rules"))
+        .where("_rules <> ''")
+        .select(
+            F.lit(table.name).alias("table_name"),
+            F.explode(F.split("_rules", ",")).alias("rule"),
+            "row_key",
+        )
     )
 
 
 def divert(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Split into rows that pass and rows that do not, the latter with ``rules``."""
-    marked = df.withColumn("rules", broken_rules(rules))
-    passed = marked.where(F.size("rules") == 0).drop("rules")
-    return passed, marked.where(F.size("rules") > 0)
+    marked = df.withColumn("_rules", broken_text(rules))
+    passed = marked.where("_rules = ''").drop("_rules")
+    failed = marked.where("_rules <> ''").withColumn("rules", rule_list(F.col("_rules")))
+    return passed, failed.drop("_rules")
 
 
 def unique_violations(df: DataFrame, table: Table) -> DataFrame:

@@ -19,6 +19,7 @@ from meritpool.operators.ids import assign_ids, highest_id
 from meritpool.operators.joins import HOT_ROWS, skew_join
 from meritpool.operators.merge import absent_rows
 from meritpool.operators.quality import divert
+from meritpool.session import landed
 
 # Fixed values of imported rows.
 IMPORT_SOURCE = "excel_import"
@@ -68,8 +69,11 @@ def unknown_names(students: DataFrame, *staged: DataFrame) -> DataFrame:
 
 
 def new_students(students: DataFrame, *staged: DataFrame) -> DataFrame:
-    """Students to append, numbered on from the highest id."""
-    names = unknown_names(students, *staged)
+    """Students to append, numbered on from the highest id.
+
+    Numbering reads the names twice, so they are found once and written down.
+    """
+    names = landed(unknown_names(students, *staged))
     return assign_ids(names, ["name_key"], highest_id(students)).select(
         "id", "full_name", F.col("name_key").alias("full_name_normalized")
     )

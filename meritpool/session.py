@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,24 +31,28 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     )
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a folder of its own.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder once, for frames that several later
-    steps read. A lost executor does not take it along."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def landed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, for frames that
+    several later steps read.
+
+    It is computed once, a lost executor does not take it along, later steps
+    read only the columns they need, and the planner knows its size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -46,6 +46,14 @@ class StarSchema:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    def read_spread(self, name: str) -> DataFrame:
+        """A table that may come as one small file, which one task reads: with
+        fewer splits than cores the rows are dealt out before the work on them.
+        A large table has more splits than that and is not shuffled."""
+        df = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     # --- line items with their order ----------------------------------------
 
     @cached_property
@@ -57,13 +65,13 @@ class StarSchema:
             F.year("o_orderdate").cast("bigint").alias("academic_period_id"),
         )
         return (
-            self.read("lineitem")
+            self.read_spread("lineitem")
             .join(orders, "l_orderkey")
             .select(
                 F.concat_ws(
-                    "-", _padded("l_orderkey", 12), _padded("l_linenumber", 2),
-                    _padded("l_partkey", 12), _padded("l_suppkey", 10),
-                    F.date_format("l_shipdate", "yyyyMMdd"),
+                    "-", _padded("l_orderkey", 12),
+                    *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")],
+                    F.unix_date(F.col("l_shipdate").cast("date")).cast("string"),
                 ).alias("line_key"),
                 "academic_period_id", "student_id",
                 F.col("l_suppkey").alias("teacher_id"),

@@ -84,13 +84,8 @@ def test_max_track_goes_by_declaration(spark):
 
 def test_numbers_from_forms(spark):
     df = spark.createDataFrame([("",), (None,), ("2.5",), (" 3 ",), ("n/a",)], "t string")
-    got = df.select(
-        scores.is_number_or_empty(F.col("t")).alias("ok"),
-        scores.number_or_zero(F.col("t")).alias("n"),
-    ).collect()
-    assert [(r.ok, float(r.n)) for r in got] == [
-        (True, 0), (True, 0), (True, 2.5), (True, 3), (False, 0)
-    ]
+    got = [r.n for r in df.select(scores.number_from_text(F.col("t")).alias("n")).collect()]
+    assert got == [None, None, Decimal("2.5"), Decimal(3), None]
 
 
 def test_guards(spark):
