@@ -75,8 +75,13 @@ def delete_keys(df: DataFrame, deleted: DataFrame, on: dict[str, str]) -> DataFr
 
 
 def set_null(df: DataFrame, deleted: DataFrame, column: str, deleted_key: str = "id") -> DataFrame:
-    """``df`` with ``column`` emptied where it names a deleted key."""
-    gone = deleted.select(F.col(deleted_key).alias(column)).distinct().withColumn("_gone", F.lit(True))
+    """``df`` with ``column`` emptied where it names a deleted key.
+
+    The deleted keys are unique, as ids are. They are not made so here: with
+    both sides straight from an exchange Spark can split a hot key or the rows
+    that name no key at all.
+    """
+    gone = deleted.select(F.col(deleted_key).alias(column), F.lit(True).alias("_gone"))
     return (
         df.join(gone, column, "left")
         .withColumn(column, F.when(F.col("_gone").isNull(), F.col(column)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meritpool.operators.ids import assign_ids, highest_id
 from meritpool.plans import changes as ch
+from meritpool.sources import writers as wr
 from tests.conftest import rows
 
 RESULTS = (
@@ -167,3 +168,35 @@ def test_batch_like_one_by_one(spark, base, hot_rows):
     assert got.results_after.count() == len(alive) + len(created)
     assert got.log.count() == len(changes) - len(rejected)
     assert got.accepted.count() + got.rejected.count() == len(changes)
+
+
+def test_only_touched_periods_are_rewritten(spark, base, tmp_path):
+    path = str(tmp_path / "results")
+    wr.append(base["results"], path, ["academic_period_id"])
+    stored = spark.read.schema(base["results"].schema).parquet(path)
+    got = batch(spark, {**base, "results": stored}, [
+        (1, "update", 3, 1, 2, 9, "regular", "1", "x", "", "new"),
+        (2, "delete", 1) + (None,) * 8,
+    ])
+    assert got.touched_periods == [2]
+    old_files = sorted((tmp_path / "results" / "academic_period_id=1").iterdir())
+    expected = rows(got.results_after.select("id", "comment", "academic_period_id"))
+    wr.rewrite_periods(got.results_after, path, got.touched_periods)
+    back = spark.read.schema(base["results"].schema).parquet(path)
+    assert rows(back.select("id", "comment", "academic_period_id")) == expected
+    assert back.count() == 7
+    assert sorted((tmp_path / "results" / "academic_period_id=1").iterdir()) == old_files
+
+
+def test_small_batch_does_not_shuffle_the_table(spark, base, tmp_path):
+    """The table is filtered and rewritten against broadcast keys."""
+    path = str(tmp_path / "results")
+    wr.append(base["results"], path, ["academic_period_id"])
+    stored = spark.read.schema(base["results"].schema).parquet(path)
+    got = batch(spark, {**base, "results": stored}, [(1, "delete", 1) + (None,) * 8])
+    one = got.results_after.where("academic_period_id = 2")
+    one.collect()
+    plan = one._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and str(tmp_path) in x and "base_score" in x)
+    assert "PartitionFilters: [isnotnull(academic_period_id" in scan
+    assert "BroadcastHashJoin" in plan

@@ -106,7 +106,7 @@ def test_replace_slice_with_nothing(spark):
 
 def test_delete_and_set_null(spark):
     df = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id int, parent int")
-    gone = spark.createDataFrame([(5,), (5,)], "id int")
+    gone = spark.createDataFrame([(5,), (7,)], "id int")
     assert rows(merge.delete_keys(df, gone, {"parent": "id"})) == [(2, 6), (3, None)]
     assert rows(merge.set_null(df, gone, "parent")) == [(1, None), (2, 6), (3, None)]
 
