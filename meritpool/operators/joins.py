@@ -2,14 +2,14 @@
 
 Three ways are in use, by shape:
 
-* A table read from files joined to another one: plain ``join`` without a hint.
-  Spark broadcasts a side only after checking its size (file size when
-  planning, measured shuffle size when running). Beyond that both inputs come
-  straight from an exchange, which is the shape in which the adaptive planner
-  splits a hot key.
-* A large table joined to an aggregate or another derived frame
-  (``skew_join``): the adaptive planner leaves such inputs alone, so hot keys
-  are found first and only they are salted.
+* Two inputs that each come straight from an exchange, as tables and staging
+  rows do: plain ``join`` without a hint. Spark broadcasts a side only after
+  checking its size (file size when planning, measured shuffle size when
+  running); beyond that it is a sort-merge join, in which the adaptive planner
+  splits the rows of a hot key over several tasks.
+* Many rows joined to an aggregate by the aggregate's own keys (``skew_join``):
+  the aggregate is not shuffled again, and the adaptive planner leaves such a
+  join alone. Hot keys are found first and only they are salted.
 * Many rows joined to a frame with few keys, such as totals by period
   (``spread_join``): each key holds a large part of the rows, so all are salted
   and the small side is repeated.

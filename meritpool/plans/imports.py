@@ -16,7 +16,6 @@ from meritpool import schemas
 from meritpool.functions.scores import max_track
 from meritpool.functions.text import grade_label, name_key
 from meritpool.operators.ids import assign_ids, highest_id
-from meritpool.operators.joins import HOT_ROWS, skew_join
 from meritpool.operators.merge import absent_rows
 from meritpool.operators.quality import divert
 from meritpool.session import landed
@@ -109,28 +108,26 @@ def new_enrollments(
 
 def assignment_rows(
     matrix: DataFrame, students: DataFrame, teachers: DataFrame, periods: DataFrame,
-    period_name: str, hot_rows: int = HOT_ROWS,
+    period_name: str,
 ) -> DataFrame:
     """The matrix in ids: students by full name, teachers by short name.
 
     Copies of a matrix row go first, before any join. A teacher may hold much
-    of the matrix (the pool of departed staff does), so that join is the one
-    that is kept balanced.
+    of the matrix (the pool of departed staff does); both inputs of that join
+    come straight from an exchange, so Spark splits the teacher's rows.
     """
-    named = keyed(keyed(matrix, "student_name"), "teacher_name", "teacher_key").select(
-        "name_key", "teacher_key", "grade", "grade_track"
+    places = (
+        keyed(keyed(matrix, "student_name"), "teacher_name", "teacher_key")
+        .select("name_key", "teacher_key", "grade", "grade_track")
+        .distinct()
     )
-    places = named.distinct()
     student_ids = students.select(
         name_key(F.col("full_name")).alias("name_key"), F.col("id").alias("student_id")
     )
     teacher_ids = teachers.select(
         name_key(F.col("short_name")).alias("teacher_key"), F.col("id").alias("teacher_id")
     )
-    by_teacher = skew_join(
-        places, teacher_ids, ["teacher_key"], "inner", ["name_key", "grade", "grade_track"],
-        hot_rows, hot_in=named,
-    )
+    by_teacher = places.join(teacher_ids, "teacher_key")
     rows = by_teacher.join(student_ids, "name_key").select(
         "student_id", "teacher_id", "grade", "grade_track",
         F.lit("main").alias("assignment_type"),
@@ -142,9 +139,9 @@ def assignment_rows(
 
 def new_assignments(
     assignments: DataFrame, matrix: DataFrame, students: DataFrame, teachers: DataFrame,
-    periods: DataFrame, period_name: str, hot_rows: int = HOT_ROWS,
+    periods: DataFrame, period_name: str,
 ) -> DataFrame:
-    rows = assignment_rows(matrix, students, teachers, periods, period_name, hot_rows)
+    rows = assignment_rows(matrix, students, teachers, periods, period_name)
     return absent_rows(assignments, rows, ASSIGNMENT_KEY)
 
 
@@ -199,13 +196,13 @@ def student_bookings(
 def import_results(
     staged: DataFrame, students: DataFrame, enrollments: DataFrame, criteria: DataFrame,
     periods: DataFrame, period_name: str, batch: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Results to append and rows that break a rule, the latter with ``rules``.
 
     Staging rows with an unknown student or criterion drop out, as in an inner
     join. The staging rows are shuffled by name once; everything known of the
-    student is joined in the one step. ``batch`` marks the rows so that a batch
+    student is joined in the one step, in which Spark splits a name that holds
+    much of the rows. ``batch`` marks the rows so that a batch
     can be replaced when loaded again.
     """
     bookings = student_bookings(students, enrollments, periods, period_name)
@@ -213,10 +210,7 @@ def import_results(
         F.col("name").alias("criterion_name"), F.col("id").alias("criterion_id"),
         F.col("base_score").alias("listed_score"),
     )
-    named = skew_join(
-        keyed(staged, "student_name").drop("student_name"),
-        bookings, ["name_key"], "inner", ["row_key"], hot_rows,
-    )
+    named = keyed(staged, "student_name").drop("student_name").join(bookings, "name_key")
     rows = named.join(catalogue, "criterion_name").select(
         "row_key", "academic_period_id", "student_id", "student_enrollment_id", "criterion_id",
         F.col("picked_grade").alias("grade_at_result"),

@@ -173,21 +173,39 @@ def test_student_assigned_twice_counts_twice(imported):
     assert (float(got.raw_points), got.student_count_with_results, got.total_student_count) == (9, 1, 1)
 
 
-def test_imports_hot_names_and_copies(spark, imported):
+def test_hot_name_is_split(spark, imported):
+    """Most rows, copies of each other, under one name: no row is lost and the
+    join by name is split."""
     tables, _ = imported
-    results, matrix = seed.staged(spark)
-    copies = results.crossJoin(spark.range(40)).withColumn("row_key", F.concat("row_key", F.lit("-"), "id")).drop("id")
-    plain, _ = im.import_results(
-        copies, tables.students, tables.enrollments, tables.criteria, tables.periods, seed.PERIOD
-    )
-    salted, _ = im.import_results(
-        copies, tables.students, tables.enrollments, tables.criteria, tables.periods, seed.PERIOD,
-        hot_rows=5,
-    )
-    assert plain.count() == 14 * 40
-    assert rows(plain.select("row_key", "student_id", "grade_at_result")) == rows(
-        salted.select("row_key", "student_id", "grade_at_result")
-    )
+    results, _ = seed.staged(spark)
+    one = results.where("row_key = 'r0'")
+    number = F.explode(F.sequence(F.lit(1), F.lit(20_000)))
+    copies = one.withColumn("n", number).withColumn(
+        "row_key", F.concat_ws("-", "row_key", F.col("n").cast("string"))
+    ).drop("n")
+    staged = results.unionByName(copies).repartition(6, "row_key")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        loaded, _ = im.import_results(
+            staged, tables.students, tables.enrollments, tables.criteria, tables.periods, seed.PERIOD
+        )
+        got = loaded.groupBy("student_id").count().collect()
+        only = loaded.select("row_key", "student_id")
+        only.collect()
+        plan = only._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert sorted(r["count"] for r in got) == [1] * 13 + [20_001]
+    assert "skew=true" in plan
 
 
 def test_import_edges(spark, imported):
