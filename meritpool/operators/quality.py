@@ -165,7 +165,7 @@ def restrict_violations(
         for ref in child.references:
             if ref.table != parent.name or ref.on_delete != "restrict":
                 continue
-            used = rows.select(F.col(ref.column).alias("id"))
+            used = rows.select(F.col(ref.column).alias("id")).distinct()
             still = deleted.select("id").join(used, "id", "left_semi").select(
                 F.lit(parent.name).alias("table_name"),
                 F.lit(f"used_by_{child.name}").alias("rule"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meritpool import schemas
-from meritpool.operators.joins import HOT_ROWS
+from meritpool.operators.joins import HOT_ROWS, skew_join
 from meritpool.operators.merge import delete_keys, replace_slice
 from meritpool.plans.summary import PERIOD, teacher_allocation
 from meritpool.sources.tables import Tables
@@ -48,13 +48,14 @@ def snapshot_rows(
     summary rows that meet under one id break the unique rule of the table;
     ``unique_violations`` names them.
     """
-    summary = teacher_allocation(tables, periods, hot_rows).drop("teacher_id")
-    first_ids = (
-        tables.teachers.groupBy(F.col("full_name").alias("teacher_name"))
-        .agg(F.min("id").alias("teacher_id"))
-    )
+    summary = teacher_allocation(tables, periods, hot_rows).withColumnRenamed("teacher_id", "_own_id")
+    names = tables.teachers.select(F.col("full_name").alias("teacher_name"), "id")
+    first_ids = names.groupBy("teacher_name").agg(F.min("id").alias("teacher_id"))
     stored = [_stored(name, given, summary) for name, given in STORED.items()]
-    return summary.join(first_ids, "teacher_name").select(
+    named = skew_join(
+        summary, first_ids, ["teacher_name"], "inner", [PERIOD, "_own_id"], hot_rows, hot_in=names
+    )
+    return named.select(
         PERIOD, "teacher_id", *stored,
         F.lit(None).cast("decimal(14,6)").alias("avg_group_ratio"),
         F.coalesce("is_dismissed", F.lit(False)).alias("is_dismissed_snapshot"),

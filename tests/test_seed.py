@@ -233,3 +233,15 @@ def test_import_edges(spark, imported):
     assert got.student_enrollment_id is None and got.comment == im.COMMENT
     assert (float(got.dynamic_bonus), float(got.total_score)) == (0, 1)
     assert [(r.row_key, r.rules) for r in rejected.collect()] == [("r2", ["grade_at_result_required"])]
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 2])
+def test_teachers_of_one_name_meet_in_the_snapshot(imported, hot_rows):
+    """Both rows go under the smaller id, and the unique rule names them."""
+    tables, _ = imported
+    name = F.when(F.col("id").isin(1, 2), F.lit("Same")).otherwise(F.col("full_name"))
+    same = replace(tables, teachers=tables.teachers.withColumn("full_name", name))
+    stored = sn.snapshot_rows(same, [1], hot_rows=hot_rows)
+    assert sorted(r.teacher_id for r in stored.collect())[:3] == [1, 1, 3]
+    found = unique_violations(stored, schemas.CALCULATIONS).collect()
+    assert [(r.row_key, r.n_rows) for r in found] == [("1|1", 2)]
