@@ -2,18 +2,114 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meritpool.llm import chain_dedup, decontamination, language, line_dedup, pieces, quality, rules, simhash, suffix_dedup, toxicity
+from meritpool.llm.frames import fold, ship, table
+
+
+#: The piece vocabulary that texts are encoded with.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = line_dedup.dedup_rows(table(spark, folder, "documents"))
+    return rows.select("row.doc_id", "n_lines", "n_removed", F.md5("kept").alias("kept_md5"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labels = rules.training_labels(table(spark, folder, "labels"), "toxic", modulus=5, held=0)
+    scored = toxicity.Toxicity(docs, labels).score(docs)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(spark, table(spark, folder, "documents"), pieces.read_model(PIECES))
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.where(fold(4) != 2))
+    found = language.identify(docs, model)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
 
-from meritpool.llm import simhash
-from meritpool.llm.frames import table
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chain_dedup.passages(table(spark, folder, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"), modulus=4, held=2)
+    return quality.score(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=3)
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, folder, "documents"), length=400).drop("kept")
+
+
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labels = rules.training_labels(table(spark, folder, "labels"), "quality")
+    return rules.quality_rules(docs, rules.fit(docs, labels))
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
+
+
 QUERIES = {
-    "op8_simhash": op8_simhash,
+    query.__name__: _shipped(query)
+    for query in (
+        op1_line_dedup, op2_toxicity, op3_sentencepiece, op4_language, op5_substring_dedup,
+        op6_decontamination, op7_quality, op8_simhash, op9_suffix_dedup, op10_quality_rules,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_line_dedup": """
+WITH raw AS (
+    SELECT doc_id, i, l[i] AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL) AS d,
+         unnest(range(1, len(l) + 1)) AS u(i)
+), solid AS (
+    SELECT doc_id, i, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos
+    FROM raw WHERE trim(line) <> ''
+), runs AS (
+    SELECT doc_id, pos, line || chr(10) || lead(line) OVER w || chr(10) || lead(line, 2) OVER w AS run
+    FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), later AS (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS n FROM runs WHERE run IS NOT NULL
+), gone AS (
+    SELECT DISTINCT s.doc_id, s.i
+    FROM later, unnest([0, 1, 2]) AS k(step)
+    JOIN solid AS s ON s.doc_id = later.doc_id AND s.pos = later.pos + step
+    WHERE n > 1
+), cut AS (
+    SELECT raw.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY raw.i) FILTER (WHERE gone.i IS NULL), '') AS kept
+    FROM raw LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.i = raw.i GROUP BY raw.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+       md5(kept) AS kept_md5
+FROM documents AS d LEFT JOIN cut USING (doc_id)
+""",
+}
