@@ -35,7 +35,7 @@ GRAM = 100
 #: window instead: each window is a row, and equal ones are counted by Spark.
 GROUP = 10_000
 #: Bytes of a document that are looked at together; window starts are dealt out to such parts.
-PART = 1 << 21
+PART = 1 << 20
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -231,7 +231,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     )
     texts = docs.withColumnRenamed("doc_id", "id").withColumnRenamed("key", "k")
     match = texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["k"] == wanted["key"])
-    cut = F.expr(f"transform(runs, r -> struct(r.*, substring(cast(text as binary), int(r.start + 1), int(r.windows + {length - 1})) as bytes))")
+    bytes_of = f"substring(cast(text as binary), int(r.start + 1), int(r.windows + {length - 1})) as bytes"
+    cut = F.expr(
+        "transform(runs, r -> struct(r.gram as gram, r.start as start, r.windows as windows, r.place as place, "
+        f"r.large as large, {bytes_of}))"
+    )
     read = landed(texts.join(wanted, match).select("doc_id", "key", F.inline(cut)))
     found = _solved(read.where("not large"), length).union(_counted(read.where("large"), length))
     return same.union(copies).union(found)
