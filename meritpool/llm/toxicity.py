@@ -25,10 +25,10 @@ LEXICON = 2_000
 #: A learned entry stands in this many toxic documents at least ...
 LEAST_DOCS = 4
 #: ... and its log odds between toxic and other documents are this much.
-LEAST_ODDS = 2.0
+LEAST_ODDS = 1.2
 #: Words between an insult and a second-person pronoun that count as near.
 NEAR = 5
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 
 # Insults and second-person pronouns of some languages.
 SEEDS = frozenset(
@@ -43,7 +43,7 @@ _INSIDE = re.compile(r"[\W\d_]")
 _RUN = re.compile(r"(.)\1{2,}")
 
 FEATURES = (
-    "log_words", "seed_density", "learned_density", "learned_weight", "stem_density", "stem_weight", "most",
+    "strength", "log_words", "seed_density", "learned_density", "learned_weight", "stem_density", "stem_weight", "most",
     "hits", "you_density", "near_you", "capitals", "shouted_hits", "marks", "bangs", "obfuscated", "obfuscated_hits",
 )
 
@@ -146,7 +146,7 @@ def features(texts: pa.Array, learned: dict[str, float]) -> np.ndarray:
                 close = (np.abs(you[side] - at) <= NEAR) & (owner[you[side]] == owner[at])
                 near += np.bincount(owner[at[close]], minlength=len(near))
     columns = [
-        np.log1p(words), total(say.seed) / n, total(say.learned > 0) / n, total(say.learned) / n,
+        total(strength) / n, np.log1p(words), total(say.seed) / n, total(say.learned > 0) / n, total(say.learned) / n,
         total(say.stem > 0) / n, total(say.stem) / n, most, np.log1p(total(hit)), total(say.you) / n, near / n,
         total(say.upper) / chars, total(say.shouted & hit) / n, total(say.marks) / chars, total(say.bangs) / n,
         total(say.masked) / n, total(say.masked_hit) / n,
@@ -186,7 +186,7 @@ class Toxicity:
         both = "count(distinct label)"
         self.trees = self.curve = None
         if ready.where("part >= 5 and part < 9").agg(F.expr(both)).first()[0] == 2:
-            self.trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=5, maxBins=64).fit(ready.where("part >= 5 and part < 9"))
+            self.trees = GBTClassifier(maxIter=24, maxDepth=3, stepSize=0.3, seed=5, maxBins=64).fit(ready.where("part >= 5 and part < 9"))
         held = ready.where("part >= 3 and part < 5 or part = 9")
         if self.trees and held.agg(F.expr(both)).first()[0] == 2:
             scored = self._margin(held).select("label", "p")
