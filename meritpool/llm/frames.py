@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from meritpool.session import shared_folder
 
 #: Bytes of text that the numpy helpers look at together; a longer text goes alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

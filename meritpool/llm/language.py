@@ -16,7 +16,7 @@ from meritpool.llm.words import mix
 BITS = 7
 CLASSES = 1 << BITS
 #: Characters that are read together.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Part of the learning documents, in tenths, that calibrates and is not counted.
 HELD_TENTHS = 1
 #: Share of a language's own documents that the rejection threshold lets through.
