@@ -120,9 +120,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
 def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component.
 
-    That is the row whose doc_id is the component's smallest; rows of a null
-    doc_id go where the component has a named one and stay where it has none.
-    Rows that repeat a doc_id are one document and stay or go together.
+    That is the row whose doc_id is the component's smallest. Rows that repeat a
+    doc_id are one document and stay or go together; so are those whose doc_id is
+    null, which stay if one of them is in a component without a named row.
     """
     first = near_duplicates(docs, shingle, max_bits).where("doc_id <=> component_id")
     kept = first.select(F.col("doc_id").alias("first")).distinct()
