@@ -73,7 +73,7 @@ CTE = {
              sum(CAST(o_totalprice AS DECIMAL(14,2))) AS total_fund,
              sum(CAST(o_totalprice AS DECIMAL(14,2))) FILTER (o_orderstatus = 'F') AS dismissed_fund,
              count(*) AS uvsotr_value
-      FROM orders WHERE year(o_orderdate) <> 2001 GROUP BY 1""",
+      FROM orders GROUP BY 1""",
     "hits": """
       SELECT t.yr, t.supp, t.cust, sum((l.base + l.bonus) * t.share) / 100 AS pts
       FROM taught t JOIN lines l
@@ -439,7 +439,7 @@ LISTED = ", ".join(
 ask("results_recent", f"SELECT {LISTED} FROM listed ORDER BY id DESC LIMIT 300", "listed")
 ask(
     "results_search",
-    f"SELECT {LISTED} FROM (SELECT * FROM listed ORDER BY id DESC LIMIT 300) "
+    f"SELECT {LISTED} FROM listed "
     "WHERE (contains(lower(student_name), '1') OR contains(lower(criterion_name), '1')) "
     "AND grade_track = 'course' AND grade_at_result = 8",
     "listed",
@@ -643,7 +643,9 @@ ask(
     "SELECT lower(p_type), CASE WHEN lower(p_type) < 'p' "
     "THEN upper(left(p_type, 1)) || lower(substr(p_type, 2)) ELSE p_type END, "
     "CASE WHEN lower(p_type) < 'p' THEN 'type' END, "
-    "CASE WHEN lower(p_type) < 'p' THEN 1 ELSE length(p_type) END FROM part GROUP BY p_type",
+    "CASE WHEN lower(p_type) < 'p' THEN 1 ELSE length(p_type) END FROM part GROUP BY p_type "
+    "UNION ALL SELECT 'new ' || lower(p_type), upper(left(p_type, 1)) || lower(substr(p_type, 2)), "
+    "'type', 1 FROM part WHERE lower(p_type) >= 'p' GROUP BY p_type",
 )
 GIVEN = "p_type <> 'PROMO'"
 KNOWN = "p_retailprice < 950"
@@ -656,13 +658,16 @@ ask(
       CAST(CASE WHEN {KNOWN} THEN p_size END AS DOUBLE) AS max_dynamic_bonus,
       CASE WHEN {GIVEN} THEN p_size <= 45 ELSE TRUE END AS is_active,
       CASE WHEN {GIVEN} THEN p_size ELSE 0 END AS sort_order
-    FROM part WHERE {GIVEN} OR {KNOWN}""",
+    FROM part WHERE {GIVEN} OR {KNOWN}
+    UNION ALL SELECT 'o' || p_partkey, lower(p_type), p_name, 'old', CAST(p_size AS DOUBLE),
+      CAST(p_size AS DOUBLE), TRUE, 0 FROM part WHERE NOT {KNOWN}""",
 )
 ask(
     "dq_touch",
     f"""SELECT 'c' || p_partkey AS code,
       CASE WHEN {GIVEN} THEN '2024-01-01 00:00:00' ELSE '2020-01-01 00:00:00' END AS updated_at
-    FROM part WHERE {GIVEN} OR {KNOWN}""",
+    FROM part WHERE {GIVEN} OR {KNOWN}
+    UNION ALL SELECT 'o' || p_partkey, '2020-01-01 00:00:00' FROM part WHERE NOT {KNOWN}""",
 )
 WEIGHTED = "part AS criterion_id, grade, track AS grade_track"
 ask(
@@ -677,7 +682,7 @@ ask(
     "SELECT CAST(year(o_orderdate) AS BIGINT) AS academic_period_id, "
     + num("sum(CAST(o_totalprice AS DECIMAL(14,2))) FILTER (o_orderstatus = 'O')", "total_fund")
     + ", 0.0 AS dismissed_fund, "
-    + num("CASE WHEN year(o_orderdate) <> 2001 THEN count(*) END", "uvsotr_value")
+    + num("count(*)", "uvsotr_value")
     + " FROM orders GROUP BY year(o_orderdate)",
 )
 ask(
@@ -698,8 +703,8 @@ ask("missing_names", MISSING, "named")
 ask(
     "new_student_ids",
     "SELECT count(*) AS n_rows, count(*) AS n_ids, CASE WHEN count(*) > 0 THEN "
-    "(SELECT max(id) + 1 FROM people WHERE known) END AS first_id, "
-    "CASE WHEN count(*) > 0 THEN (SELECT max(id) FROM people WHERE known) + count(*) END "
+    "(SELECT max(id) + 1 FROM people) END AS first_id, "
+    "CASE WHEN count(*) > 0 THEN (SELECT max(id) FROM people) + count(*) END "
     f"AS last_id FROM ({MISSING})",
     "named",
 )
@@ -753,6 +758,22 @@ ask(
     "booked",
 )
 
+
+
+def numbered(rows: str, known: str) -> str:
+    """Dense ids of ``rows`` after those of the ``known`` count of rows."""
+    return (
+        "SELECT count(*) AS n_rows, count(*) AS n_ids, "
+        f"CASE WHEN count(*) > 0 THEN ({known}) + 1 END AS first_id, "
+        f"CASE WHEN count(*) > 0 THEN ({known}) + count(*) END AS last_id FROM ({rows})"
+    )
+
+
+ask("enrollment_ids", numbered(ORACLE["enrollments_insert_absent"], "SELECT count(*) FROM placed"), "placed")
+ask("assignment_ids", numbered(ORACLE["assignments_insert_absent"], "SELECT count(*) FROM taught"), "taught")
+ask("result_ids", numbered(ORACLE["result_import"], "SELECT count(*) FROM lineitem"))
+ask("log_ids", numbered("SELECT 1 FROM events", "SELECT max(event_id) FROM events"))
+
 # --- changes ----------------------------------------------------------------
 
 WRITTEN = ", ".join(

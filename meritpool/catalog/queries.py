@@ -11,6 +11,7 @@ from meritpool import schemas
 from meritpool.catalog.plain import plain
 from meritpool.functions.text import empty_to_null, iso_day, name_key
 from meritpool.operators import quality
+from meritpool.operators.inserts import id_summary
 from meritpool.operators.merge import upsert
 from meritpool.plans import changes as ch
 from meritpool.plans import imports as im
@@ -19,7 +20,7 @@ from meritpool.plans import reports as rp
 from meritpool.plans import snapshot as sn
 from meritpool.plans import summary as su
 from meritpool.sources.starschema import StarSchema
-from meritpool.sources.writers import log_rows
+from meritpool.sources.writers import log_inserts, log_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +37,7 @@ def query(build: Callable[[StarSchema], DataFrame]) -> Query:
 
     run.__name__ = build.__name__
     run.__doc__ = build.__doc__
+    run.plan = build
     QUERIES[build.__name__] = run
     return run
 
@@ -269,12 +271,15 @@ def log_recent(s):
 def log_append(s):
     """The log with a row for each event, written by the system where the
     event is an error."""
+    return s.log.drop("id", "created_at").unionByName(_log_rows(s).drop("created_at"))
+
+
+def _log_rows(s):
     actor = F.when(F.col("event_type") != "error", F.concat(F.lit("u"), F.col("user_id").cast("string")))
     details = F.when(F.col("event_type") != "view", F.to_json(F.struct("event_id", "user_id")))
-    new = log_rows(
+    return log_rows(
         s.read("events"), F.col("event_type"), "event", F.col("user_id"), details, actor
     )
-    return s.log.drop("id", "created_at").unionByName(new.drop("created_at"))
 
 
 @query
@@ -307,7 +312,9 @@ def lookup_period(s):
 
 @query
 def periods_insert_absent(s):
-    return rd.new_periods(s.periods.where("name < '1999'"), s.periods)
+    """The later periods are known under another name."""
+    known = F.when(F.col("name") < "1999", F.col("name")).otherwise(F.concat(F.lit("old "), "name"))
+    return rd.new_periods(s.periods.withColumn("name", known), s.periods)
 
 
 @query
@@ -316,8 +323,10 @@ def groups_upsert(s):
         F.lower("p_brand").alias("code"), F.col("p_brand").alias("name"),
         F.lit("brand").alias("description"), F.length("p_brand").alias("sort_order"),
     ).unionByName(
-        s.groups.where("code < 'p'").select(
-            "code", F.initcap("name").alias("name"), F.lit("type").alias("description"),
+        s.groups.select(
+            F.when(F.col("code") < "p", F.col("code")).otherwise(F.concat(F.lit("new "), "code"))
+            .alias("code"),
+            F.initcap("name").alias("name"), F.lit("type").alias("description"),
             F.lit(1).alias("sort_order"),
         )
     )
@@ -328,7 +337,8 @@ def groups_upsert(s):
 
 
 def _criteria_upsert(s):
-    known_groups = s.groups.where("code <> 'promo'")
+    code = F.when(F.col("code") == "promo", "promo-old").otherwise(F.col("code"))
+    known_groups = s.groups.withColumn("code", code)
     return rd.merged_criteria(
         s.older_criteria, s.given_criteria, known_groups, F.lit("2024-01-01").cast("timestamp")
     )
@@ -370,7 +380,11 @@ def name_keys(s):
 
 
 def _known_students(s):
-    return s.students.where("is_active")
+    """The inactive ones are known under another name."""
+    former = F.concat(F.lit("former "), "full_name")
+    return s.students.withColumn(
+        "full_name", F.when(F.col("is_active"), F.col("full_name")).otherwise(former)
+    )
 
 
 @query
@@ -381,10 +395,35 @@ def missing_names(s):
 @query
 def new_student_ids(s):
     """The ids given to new students: dense, from the highest id on."""
-    return im.new_students(_known_students(s), s.staged_results, s.staged_matrix).agg(
-        F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"),
-        F.min("id").alias("first_id"), F.max("id").alias("last_id"),
-    )
+    return id_summary(im.new_students(_known_students(s), s.staged_results, s.staged_matrix))
+
+
+def _as_numbered(df):
+    """The rows of the star schema have texts for ids; here they count from 1."""
+    n = df.agg(F.count("*")).scalar()
+    return df.select(n.alias("id")).limit(1)
+
+
+@query
+def enrollment_ids(s):
+    return id_summary(im.enrollment_inserts(enrollments_insert_absent.plan(s), _as_numbered(s.enrollments)))
+
+
+@query
+def assignment_ids(s):
+    return id_summary(im.assignment_inserts(assignments_insert_absent.plan(s), _as_numbered(s.assignments)))
+
+
+@query
+def result_ids(s):
+    loaded = _import(s)[0].drop("student_enrollment_id")
+    return id_summary(im.result_inserts(loaded, _as_numbered(s.results)))
+
+
+@query
+def log_ids(s):
+    """Appended log rows stand above all older ones."""
+    return id_summary(log_inserts(_log_rows(s), s.log))
 
 
 @query

@@ -1,15 +1,14 @@
 """Joins that stay balanced when one key holds much of the data.
 
-Three ways are in use, by shape:
-
 * Two inputs that each come straight from an exchange, as tables and staging
   rows do: plain ``join`` without a hint. Spark broadcasts a side only after
   checking its size (file size when planning, measured shuffle size when
   running); beyond that it is a sort-merge join, in which the adaptive planner
   splits the rows of a hot key over several tasks.
-* Many rows joined to an aggregate by the aggregate's own keys (``skew_join``):
-  the aggregate is not shuffled again, and the adaptive planner leaves such a
-  join alone. Hot keys are found first and only they are salted.
+* Many rows joined to an aggregate by the aggregate's own keys: the aggregate
+  would not be shuffled again, and the adaptive planner would leave the join
+  alone. Where a key can be hot the aggregate is ``apart``: it gets an exchange
+  of its own, and the join is split as above.
 * Many rows joined to a frame with few keys, such as totals by period
   (``spread_join``): each key holds a large part of the rows, so all are salted
   and the small side is repeated.
@@ -22,42 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-SALTS = 64
+#: Tasks that the rows of one key of a ``spread_join`` go to, unless the caller
+#: names another number: the cores of the cluster by the number of keys is a good one.
 FANOUT = 32
 
-# Sketches are kept by slice of the key hash, so that no single task merges the
-# sketches of all map tasks. The answer holds at most SLICES * KEYS_PER_SLICE keys.
-SLICES = 64
-KEYS_PER_SLICE = 64
-TRACKED_PER_SLICE = 512
-
-_found: dict[tuple, list[int]] = {}
-
-
-def hot_key_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the keys that hold at least ``hot_rows`` rows of ``df``.
-
-    One pass over the key columns with a heavy-hitter sketch; the keys
-    themselves are not shuffled. The bounded list is fetched once, so that both
-    sides of a join see the same list even if tasks run again. It only steers
-    the balance, never the result, so it is kept for frames of the same plan.
-    """
-    memo = (df.semanticHash(), tuple(keys), hot_rows)
-    if memo not in _found:
-        top = f"approx_top_k(h, {KEYS_PER_SLICE}, {TRACKED_PER_SLICE})"
-        rows = (
-            df.select(F.xxhash64(*keys).alias("h"))
-            .groupBy(F.pmod("h", F.lit(SLICES)).alias("slice"))
-            .agg(F.expr(top).alias("top"))
-            .select(F.explode("top").alias("t"))
-            .where(F.col("t.count") >= hot_rows)
-            .select("t.item")
-            .collect()
-        )
-        _found[memo] = sorted(r[0] for r in rows)
-    return _found[memo]
-
 
 def _salt(spread_by: Sequence[str], salts: int) -> Column:
     """Salt by row hash. It is never null, and saying so keeps the planner from
@@ -66,41 +33,10 @@ def _salt(spread_by: Sequence[str], salts: int) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(*spread_by), F.lit(salts)), F.lit(0)).cast("int")
 
 
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str,
-    spread_by: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    hot_in: DataFrame | None = None,
-    hot_on: Sequence[str] | None = None,
-) -> DataFrame:
-    """Equi-join of many ``left`` rows to ``right``, hot keys salted.
-
-    ``spread_by`` are left columns that tell apart the rows of one key. Rows of
-    a hot key go to one of SALTS tasks by their hash, which is the same when a
-    task is run again; the matching right rows are repeated once per salt.
-    ``how`` is any join that keeps or drops left rows.
-
-    Where ``left`` is costly to compute, ``hot_in`` names a cheaper frame to
-    look for hot keys in, and ``hot_on`` the key columns that it holds.
-    """
-    hot_on = list(hot_on or keys)
-    hot = hot_key_hashes(left if hot_in is None else hot_in, hot_on, hot_rows)
-    if not hot:
-        return left.join(right, list(keys), how)
-    is_hot = F.xxhash64(*hot_on).isin(hot)
-    salted_left = left.withColumn(
-        "_salt", F.when(is_hot, _salt(spread_by, SALTS)).otherwise(F.lit(0))
-    )
-    salted_right = right.withColumn(
-        "_salt",
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+def apart(aggregated: DataFrame) -> DataFrame:
+    """An aggregate dealt out anew, so that a join by its keys has an exchange
+    of its own on this side too and Spark can split a hot key of the other."""
+    return aggregated.hint("rebalance")
 
 
 def spread_join(

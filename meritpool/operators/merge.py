@@ -17,7 +17,8 @@ def one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.distinct()
-    least = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row"))
+    # copies go first, in a hash aggregate; the ordered minimum sorts what is left
+    least = df.distinct().groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row"))
     return least.select(*[F.col(c) if c in key else F.col(f"_row.{c}") for c in df.columns])
 
 
@@ -44,10 +45,12 @@ def upsert(
 ) -> DataFrame:
     """Insert absent keys; on known keys overwrite ``columns`` and nothing else.
 
-    Columns that ``source`` lacks are null on new rows. With ``touched_at`` the
-    column ``updated_at`` is set on rows that were overwritten. Both sides hold
-    a key once, so no key is hot.
+    Columns that ``source`` lacks are null on new rows; ``inserts.with_new_ids``
+    fills them. The column ``updated_at`` is set to ``touched_at``, by default
+    the current time, on rows that were overwritten. Both sides hold a key
+    once, so no key is hot.
     """
+    touched_at = F.current_timestamp() if touched_at is None else touched_at
     t = target.withColumn("_known", F.lit(True)).alias("t")
     s = one_per_key(source, key).withColumn("_given", F.lit(True)).alias("s")
     joined = t.join(s, list(key), "full_outer")
@@ -56,7 +59,7 @@ def upsert(
     def merged(c: str) -> Column:
         if c in key:
             return F.col(c)
-        if c == "updated_at" and touched_at is not None:
+        if c == "updated_at":
             new = F.col(f"s.{c}") if c in source.columns else touched_at
             return F.when(given & known, touched_at).when(given, new).otherwise(F.col(f"t.{c}")).alias(c)
         if c in columns:

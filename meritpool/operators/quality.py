@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -74,10 +75,16 @@ def row_rules(table: Table, df: DataFrame, kinds: Sequence[str] = tuple(ROW_RULE
 def _columns_of(table: Table, kind: str, rule: str) -> set[str]:
     if kind != "checks":
         return {rule.rsplit("_", 1)[0]}
-    words = set(table.checks[rule].replace("(", " ").replace(")", " ").split())
+    words = set(re.findall(r"\w+", re.sub(r"'[^']*'", "", table.checks[rule])))
     return {c.name for c in table.columns if c.name in words}
 
 
+def skipped_rules(table: Table, df: DataFrame, kinds: Sequence[str] = tuple(ROW_RULES)) -> list[str]:
+    """The rules of one row that cannot be checked, as ``df`` lacks a column."""
+    held = row_rules(table, df, kinds)
+    return [name for kind in kinds for name in ROW_RULES[kind](table) if name not in held]
+
+
 def broken_text(rules: dict[str, Column]) -> Column:
     """Names of the rules a row breaks, by commas; empty for a sound row."""
     return F.concat_ws(",", *[F.when(broken, F.lit(name)) for name, broken in rules.items()])
@@ -136,24 +143,42 @@ def unique_violations(df: DataFrame, table: Table) -> DataFrame:
 def reference_violations(
     df: DataFrame, table: Table, parents: dict[str, DataFrame], key: str = "id"
 ) -> DataFrame:
-    """Rows that name a parent which is not there. Nulls name none."""
-    found = None
-    for ref in table.references:
-        if ref.table not in parents or ref.column not in df.columns:
-            continue
-        ids = parents[ref.table].select(F.col("id").alias(ref.column))
-        missing = (
-            df.where(F.col(ref.column).isNotNull())
-            .select(F.col(key).cast("string").alias("row_key"), ref.column)
-            .join(ids, ref.column, "left_anti")
-            .select(
-                F.lit(table.name).alias("table_name"),
-                F.lit(f"{ref.column}_known").alias("rule"),
-                "row_key",
-            )
+    """Rows that name a parent which is not there. Nulls name none.
+
+    All references are looked at in one pass: the distinct keys that the rows
+    name are held against the parents, and only missing keys, few as a rule,
+    are joined back to the rows. References whose parent or column is not given
+    are left out; ``unchecked_references`` names them.
+    """
+    refs = [r for r in table.references if r.table in parents and r.column in df.columns]
+    if not refs:
+        raise ValueError(f"no reference of {table.name} can be checked")
+    named = df.select(
+        F.col(key).cast("string").alias("row_key"),
+        F.explode(
+            F.array(*[
+                F.struct(F.lit(f"{r.column}_known").alias("rule"), F.col(r.column).cast("string").alias("named"))
+                for r in refs
+            ])
+        ).alias("_ref"),
+    ).select("row_key", "_ref.rule", "_ref.named").where("named is not null")
+    known = None
+    for ref in refs:
+        ids = parents[ref.table].select(
+            F.lit(f"{ref.column}_known").alias("rule"), F.col("id").cast("string").alias("named")
         )
-        found = missing if found is None else found.unionByName(missing)
-    return found
+        known = ids if known is None else known.unionByName(ids)
+    missing = named.select("rule", "named").distinct().join(known, ["rule", "named"], "left_anti")
+    return named.join(missing.hint("rebalance"), ["rule", "named"], "left_semi").select(
+        F.lit(table.name).alias("table_name"), "rule", "row_key"
+    )
+
+
+def unchecked_references(df: DataFrame, table: Table, parents: dict[str, DataFrame]) -> list[str]:
+    return [
+        r.column for r in table.references
+        if r.table not in parents or r.column not in df.columns
+    ]
 
 
 def restrict_violations(

@@ -16,9 +16,9 @@ from meritpool import schemas
 from meritpool.functions.scores import max_track
 from meritpool.functions.text import grade_label, name_key
 from meritpool.operators.ids import assign_ids, highest_id
+from meritpool.operators.inserts import inserted
 from meritpool.operators.merge import absent_rows
-from meritpool.operators.quality import divert
-from meritpool.session import landed
+from meritpool.operators.quality import divert, row_rules
 
 # Fixed values of imported rows.
 IMPORT_SOURCE = "excel_import"
@@ -70,9 +70,9 @@ def unknown_names(students: DataFrame, *staged: DataFrame) -> DataFrame:
 def new_students(students: DataFrame, *staged: DataFrame) -> DataFrame:
     """Students to append, numbered on from the highest id.
 
-    Numbering reads the names twice, so they are found once and written down.
+    Numbering reads the names twice; both uses come from one exchange.
     """
-    names = landed(unknown_names(students, *staged))
+    names = unknown_names(students, *staged)
     return assign_ids(names, ["name_key"], highest_id(students)).select(
         "id", "full_name", F.col("name_key").alias("full_name_normalized")
     )
@@ -223,19 +223,37 @@ def import_results(
         F.when(F.col("listed_score") != F.col("base_score"), F.lit(COMMENT_MISMATCH))
         .otherwise(F.lit(COMMENT)).alias("comment"),
     )
-    rows = rows.withColumn(
-        "total_score", F.expr(schemas.RESULTS.column("total_score").generated)
-    )
+    rows = rows.withColumn("total_score", total_score())
     if batch is not None:
         rows = rows.withColumn("batch_id", batch)
-    return divert(rows, _result_rules())
+    return divert(rows, _result_rules(rows))
+
+
+def total_score() -> Column:
+    """Base and bonus together, null where that does not fit its column."""
+    return (F.col("base_score") + F.col("dynamic_bonus")).try_cast(
+        schemas.RESULTS.column("total_score").type
+    )
+
+
+def _result_rules(rows: DataFrame) -> dict[str, Column]:
+    """The rules of the table on the columns an import fills, and that the sum fits."""
+    rules = row_rules(schemas.RESULTS, rows, ("required", "checks", "enum", "length"))
+    too_large = F.col("base_score").isNotNull() & F.col("total_score").isNull()
+    return {**rules, "total_score_precision": too_large}
+
+
+# --- rows as the tables store them ------------------------------------------
+
+
+def enrollment_inserts(new: DataFrame, enrollments: DataFrame) -> DataFrame:
+    return inserted(new, enrollments, schemas.ENROLLMENTS, ENROLLMENT_KEY)
+
+
+def assignment_inserts(new: DataFrame, assignments: DataFrame) -> DataFrame:
+    return inserted(new, assignments, schemas.ASSIGNMENTS, ASSIGNMENT_KEY)
 
 
-def _result_rules() -> dict[str, Column]:
-    return {
-        "grade_at_result_required": F.col("grade_at_result").isNull(),
-        "grade_at_result_range": ~F.col("grade_at_result").between(2, 11),
-        "base_score_not_negative": F.col("base_score") < 0,
-        "dynamic_bonus_not_negative": F.col("dynamic_bonus") < 0,
-        "raw_result_value_length": F.char_length("raw_result_value") > 100,
-    }
+def result_inserts(loaded: DataFrame, results: DataFrame) -> DataFrame:
+    """Imported results; their ids follow the row keys of the staging rows."""
+    return inserted(loaded, results, schemas.RESULTS, ["row_key"])

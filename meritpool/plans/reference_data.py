@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meritpool import schemas
 from meritpool.functions.text import name_key
+from meritpool.operators.inserts import inserted, with_new_ids
 from meritpool.operators.merge import absent_rows, upsert
 
 
@@ -70,3 +72,31 @@ def new_teachers(teachers: DataFrame, given: DataFrame) -> DataFrame:
     known = teachers.select(name_key(F.col("full_name")).alias("name_key"))
     keyed = given.withColumn("name_key", name_key(F.col("full_name")))
     return absent_rows(known, keyed, ["name_key"]).drop("name_key")
+
+
+# --- rows as the tables store them ------------------------------------------
+
+
+def period_inserts(periods: DataFrame, given: DataFrame) -> DataFrame:
+    return inserted(new_periods(periods, given), periods, schemas.PERIODS, ["name"])
+
+
+def teacher_inserts(teachers: DataFrame, given: DataFrame) -> DataFrame:
+    return inserted(new_teachers(teachers, given), teachers, schemas.TEACHERS, ["full_name"])
+
+
+def numbered_groups(merged: DataFrame, groups: DataFrame) -> DataFrame:
+    return with_new_ids(merged, groups, schemas.GROUPS, ["code"])
+
+
+def numbered_criteria(merged: DataFrame, criteria: DataFrame) -> DataFrame:
+    return with_new_ids(merged, criteria, schemas.CRITERIA, ["code"])
+
+
+def numbered_weights(merged: DataFrame, weights: DataFrame) -> DataFrame:
+    key = ["criterion_id", "grade", "grade_track"]
+    return with_new_ids(merged, weights, schemas.WEIGHTS, key)
+
+
+def numbered_settings(merged: DataFrame, settings: DataFrame) -> DataFrame:
+    return with_new_ids(merged, settings, schemas.SETTINGS, ["academic_period_id"])

@@ -111,10 +111,11 @@ def result_filter(
 
 def search_results(
     tables: Tables, query: str | None = None, track: str | None = None,
-    grade: str | int | None = None, n: int = NEWEST,
+    grade: str | int | None = None, n: int | None = None,
 ) -> DataFrame:
-    """The search looks through the newest ``n`` results, as the list shows them."""
-    return recent_results(tables, n).where(result_filter(query, track, grade))
+    """Results that match, of all or of the newest ``n`` that a list shows."""
+    listed = all_results(tables) if n is None else recent_results(tables, n)
+    return listed.where(result_filter(query, track, grade))
 
 
 def shown_of(df: DataFrame, matches: Column) -> DataFrame:

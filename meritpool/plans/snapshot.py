@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meritpool import schemas
-from meritpool.operators.joins import HOT_ROWS, skew_join
 from meritpool.operators.merge import delete_keys, replace_slice
+from meritpool.operators.quality import rule_list
 from meritpool.plans.summary import PERIOD, teacher_allocation
 from meritpool.sources.tables import Tables
-from meritpool.sources.writers import log_rows, write_period
+from meritpool.sources.writers import log_rows, read_periods, replace_periods
 
 # Stored column -> summary column. Nulls are stored as 0 (or false).
 STORED = {
@@ -38,31 +38,47 @@ def _stored(name: str, given: str, summary: DataFrame) -> Column:
     return F.coalesce(value, F.lit(0)).cast(kind).alias(name)
 
 
-def snapshot_rows(
-    tables: Tables, periods: Sequence[int], calculated_at: Column | None = None,
-    hot_rows: int = HOT_ROWS,
+def _numbered(
+    tables: Tables, periods: Sequence[int], calculated_at: Column | None
 ) -> DataFrame:
-    """The summary of the periods as stored rows, rounded by the column types.
-
-    Teachers are stored under the smallest id that bears their full name. Two
-    summary rows that meet under one id break the unique rule of the table;
-    ``unique_violations`` names them.
-    """
-    summary = teacher_allocation(tables, periods, hot_rows).withColumnRenamed("teacher_id", "_own_id")
+    """The summary as stored rows, with ``_bearers``: how many summary rows meet
+    under one period and teacher. Teachers are stored under the smallest id that
+    bears their full name, so every bearer of the name is counted by a window
+    over a key that as many rows share as there are such teachers."""
+    summary = teacher_allocation(tables, periods).withColumnRenamed("teacher_id", "_own_id")
     names = tables.teachers.select(F.col("full_name").alias("teacher_name"), "id")
     first_ids = names.groupBy("teacher_name").agg(F.min("id").alias("teacher_id"))
     stored = [_stored(name, given, summary) for name, given in STORED.items()]
-    named = skew_join(
-        summary, first_ids, ["teacher_name"], "inner", [PERIOD, "_own_id"], hot_rows, hot_in=names
-    )
-    return named.select(
+    return summary.join(first_ids, "teacher_name").select(
         PERIOD, "teacher_id", *stored,
         F.lit(None).cast("decimal(14,6)").alias("avg_group_ratio"),
         F.coalesce("is_dismissed", F.lit(False)).alias("is_dismissed_snapshot"),
         (F.current_timestamp() if calculated_at is None else calculated_at).alias("calculated_at"),
+        F.count("*").over(Window.partitionBy(PERIOD, "teacher_id")).alias("_bearers"),
     )
 
 
+def snapshot_rows(
+    tables: Tables, periods: Sequence[int], calculated_at: Column | None = None
+) -> DataFrame:
+    """The summary of the periods as stored rows, rounded by the column types.
+
+    Rows of teachers that share a full name would meet under one key, which the
+    unique rule of the table forbids; they are left out and ``snapshot_rejects``
+    has them.
+    """
+    return _numbered(tables, periods, calculated_at).where("_bearers = 1").drop("_bearers")
+
+
+def snapshot_rejects(
+    tables: Tables, periods: Sequence[int], calculated_at: Column | None = None
+) -> DataFrame:
+    """The rows that ``snapshot_rows`` leaves out, with the rule they break."""
+    rule = "_".join(schemas.CALCULATIONS.unique[0]) + "_unique"
+    rows = _numbered(tables, periods, calculated_at).where("_bearers > 1").drop("_bearers")
+    return rows.withColumn("rules", rule_list(F.lit(rule)))
+
+
 def calculations_after(calculations: DataFrame, periods: Sequence[int], new: DataFrame) -> DataFrame:
     """Stored calculations with the periods replaced, also by nothing."""
     return replace_slice(calculations, PERIOD, periods, new.select(*calculations.columns))
@@ -85,22 +101,22 @@ def rebuild_log(new: DataFrame, period_names: DataFrame) -> DataFrame:
 
 
 def rebuild_period(
-    tables: Tables, period_id: int, calculations_path: str, items_path: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    tables: Tables, period_id: int, calculations_root: str, items_root: str | None = None
 ) -> DataFrame:
-    """Rebuild the stored calculation of a period kept under ``calculations_path``.
+    """Rebuild the stored calculation of a period kept under ``calculations_root``.
 
-    Both tables are kept by period. The items of the period go, as nothing
-    fills them again. Returns the log row to append.
+    The new rows are written in full before the period is switched to them; a job
+    that fails leaves the old calculation and its items. The items go last, as
+    nothing fills them again. Returns the log row to append.
     """
-    new = snapshot_rows(tables, [period_id], hot_rows=hot_rows)
+    new = snapshot_rows(tables, [period_id])
     spark = new.sparkSession
-    if items_path is not None:
+    replace_periods(new, calculations_root, [period_id])
+    if items_root is not None:
         columns = [f for f in schemas.ITEMS.struct.fields if f.name != PERIOD]
         empty = spark.createDataFrame([], T.StructType(columns))
-        write_period(empty.withColumn(PERIOD, F.lit(period_id).cast("bigint")), items_path, period_id)
-    write_period(new, calculations_path, period_id)
-    stored = spark.read.parquet(f"{calculations_path}/{PERIOD}={period_id}").withColumn(
-        PERIOD, F.lit(period_id).cast("bigint")
-    )
+        replace_periods(
+            empty.withColumn(PERIOD, F.lit(period_id).cast("bigint")), items_root, [period_id]
+        )
+    stored = read_periods(spark, calculations_root, new.schema).where(F.col(PERIOD) == period_id)
     return rebuild_log(stored, tables.periods.where(F.col("id") == period_id))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritpool.functions.scores import part_of_fund, reverse_weight, share_of
-from meritpool.operators.joins import HOT_ROWS, skew_join, spread_join
+from meritpool.operators.joins import spread_join
 from meritpool.sources.tables import Tables
 
 PERIOD = "academic_period_id"
@@ -67,14 +67,16 @@ def scores_by_match(results: DataFrame, periods: Sequence[int] | None = None) ->
     )
 
 
-def student_points(scope: DataFrame, scores: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def student_points(scope: DataFrame, scores: DataFrame) -> DataFrame:
     """One row per (period, teacher, student) of the scope.
 
     ``has_results`` tells students with a matching result from those without;
-    a student assigned twice at one grade counts the points twice.
+    a student assigned twice at one grade counts the points twice. The unique
+    key of the assignments bounds the rows of one match by four per teacher, so
+    no key of this join is hot.
     ``weighted`` is points times 100, exact.
     """
-    joined = skew_join(scope, scores, MATCH, "left", ["teacher_id", "share_percent"], hot_rows)
+    joined = scope.join(scores, MATCH, "left")
     return joined.groupBy(PERIOD, "teacher_id", "student_id").agg(
         F.sum(F.col("score") * F.col("share_percent")).cast("decimal(30,6)").alias("weighted"),
         (F.count("scored") > 0).alias("has_results"),
@@ -193,24 +195,20 @@ def allocated(teachers: DataFrame) -> DataFrame:
     )
 
 
-def scored_teachers(
-    tables: Tables, periods: Sequence[int] | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def scored_teachers(tables: Tables, periods: Sequence[int] | None = None) -> DataFrame:
     """Counts and points by period and teacher, straight from the base tables."""
     scope = active_scope(tables.assignments, periods)
     scores = scores_by_match(tables.results, periods)
-    return teacher_scope(student_points(scope, scores, hot_rows))
+    return teacher_scope(student_points(scope, scores))
 
 
-def teacher_allocation(
-    tables: Tables, periods: Sequence[int] | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def teacher_allocation(tables: Tables, periods: Sequence[int] | None = None) -> DataFrame:
     """The summary with the ids of period and teacher in front.
 
     Everything that hangs on the period alone (totals, name, settings) is
     brought together first, a few rows, and joined to the teachers once.
     """
-    teachers = scored_teachers(tables, periods, hot_rows)
+    teachers = scored_teachers(tables, periods)
     names = tables.periods.select(F.col("id").alias(PERIOD), F.col("name").alias("academic_period"))
     by_period = (
         period_totals(teachers)
@@ -228,12 +226,10 @@ def teacher_allocation(
     return shares.select(PERIOD, "teacher_id", *SUMMARY_COLUMNS)
 
 
-def teacher_summary(
-    tables: Tables, periods: Sequence[int] | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def teacher_summary(tables: Tables, periods: Sequence[int] | None = None) -> DataFrame:
     """One row per period and teacher with an active assignment.
 
     ``normalized_share_percent`` is a fraction. Dismissed teachers and the pool
     of departed staff take part in every total.
     """
-    return teacher_allocation(tables, periods, hot_rows).select(*SUMMARY_COLUMNS)
+    return teacher_allocation(tables, periods).select(*SUMMARY_COLUMNS)

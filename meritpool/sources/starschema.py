@@ -46,14 +46,6 @@ class StarSchema:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    def read_spread(self, name: str) -> DataFrame:
-        """A table that may come as one small file, which one task reads: with
-        fewer splits than cores the rows are dealt out before the work on them.
-        A large table has more splits than that and is not shuffled."""
-        df = self.read(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
     # --- line items with their order ----------------------------------------
 
     @cached_property
@@ -65,7 +57,7 @@ class StarSchema:
             F.year("o_orderdate").cast("bigint").alias("academic_period_id"),
         )
         return (
-            self.read_spread("lineitem")
+            self.read("lineitem")
             .join(orders, "l_orderkey")
             .select(
                 F.concat_ws(
@@ -208,7 +200,7 @@ class StarSchema:
 
     @cached_property
     def settings(self) -> DataFrame:
-        """Funds by year; 2001, the last and incomplete year, has none."""
+        """Funds by year."""
         price = F.col("o_totalprice").cast("decimal(14,2)")
         return (
             self.read("orders")
@@ -218,7 +210,6 @@ class StarSchema:
                 F.sum(F.when(F.col("o_orderstatus") == "F", price)).alias("dismissed_fund"),
                 F.count("*").cast("decimal(14,6)").alias("uvsotr_value"),
             )
-            .where("academic_period_id <> 2001")
         )
 
     @cached_property
@@ -334,9 +325,10 @@ class StarSchema:
 
     @cached_property
     def older_criteria(self) -> DataFrame:
-        """What was known of the cheaper parts before the batch."""
-        return self.read("part").where("p_retailprice < 950").select(
-            F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("code"),
+        """What was known before the batch; the dearer parts have other codes."""
+        prefix = F.when(F.col("p_retailprice") < 950, "c").otherwise("o")
+        return self.read("part").select(
+            F.concat(prefix, F.col("p_partkey").cast("string")).alias("code"),
             F.lower("p_type").alias("criterion_group_id"),
             F.col("p_name").alias("name"),
             F.lit("old").alias("raw_value_label"),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meritpool import schemas
-from meritpool.operators.quality import conform
+from meritpool.operators.quality import conform, divert
 
 
 @dataclass(frozen=True)
@@ -39,24 +39,33 @@ def read_table(spark: SparkSession, table: schemas.Table, path: str) -> DataFram
 
 def read_landing(
     spark: SparkSession, table: schemas.Table, path: str, fmt: str = "csv", header: bool = True
-) -> DataFrame:
-    """Staging rows from a landing folder, with a ``row_key`` for each row.
+) -> tuple[DataFrame, DataFrame]:
+    """Staging rows from a landing folder, and the rows with a bad cell.
 
-    The key is the file and the place of the row in the scan, so copies of a
-    row stay apart and rejects can be traced. It is made right on the scan,
-    whose rows come in the same order when a task is run again. Text that does
-    not fit its type fails the load (``FAILFAST``) and is not read as null.
+    Each has a ``row_key``: the file, a digest of the row's text and a number that
+    tells copies of a row in a file apart. The key stays the same however the
+    files are split. Cells are read as text and cast; a row with a text that does
+    not fit its type is diverted as it came, with ``rules``, and ends no load.
     """
-    reader = spark.read.schema(table.struct)
+    names = [c.name for c in table.columns]
+    reader = spark.read.schema(", ".join(f"`{n}` string" for n in names))
     if fmt == "csv":
-        reader = reader.option("header", header).option("mode", "FAILFAST")
-    rows = reader.format(fmt).load(path)
-    return rows.withColumn(
-        "row_key",
-        F.concat_ws(
-            ":", F.col("_metadata.file_name"), F.monotonically_increasing_id().cast("string")
-        ),
+        reader = reader.option("header", header)
+    digest = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+    text = reader.format(fmt).load(path).select(
+        *names, F.col("_metadata.file_name").alias("_file"), digest.alias("_digest")
     )
+    copies = Window.partitionBy("_file", "_digest").orderBy("_digest")
+    keyed = text.withColumn(
+        "row_key", F.concat_ws(":", "_file", "_digest", F.row_number().over(copies).cast("string"))
+    ).drop("_file", "_digest")
+    bad = {
+        f"{c.name}_type": F.col(c.name).isNotNull() & F.col(c.name).try_cast(c.type).isNull()
+        for c in table.columns
+    }
+    passed, rejected = divert(keyed, bad)
+    typed = [F.col(c.name).try_cast(c.type).alias(c.name) for c in table.columns]
+    return passed.select(*typed, "row_key"), rejected
 
 
 def inline_rows(

@@ -49,12 +49,12 @@ def base(spark):
     }
 
 
-def batch(spark, base, changes, period="now", hot_rows=1_000_000):
+def batch(spark, base, changes, period="now", folder=None):
     return ch.ChangeBatch(
         spark.createDataFrame(changes, CHANGES), base["results"], base["students"],
         base["criteria"], base["enrollments"], base["periods"], period,
         with_ids=lambda new: assign_ids(new, ["change_id"], highest_id(base["results"])),
-        hot_rows=hot_rows,
+        folder=folder,
     )
 
 
@@ -133,8 +133,8 @@ def test_unknown_period_rejects_creates_only(spark, base):
     assert got.updated.count() == 1
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 3])
-def test_batch_like_one_by_one(spark, base, hot_rows):
+@pytest.mark.parametrize("written", [False, True])
+def test_batch_like_one_by_one(spark, base, written, tmp_path):
     """Random changes, many of them to the same result."""
     rng = random.Random(5)
     changes = []
@@ -160,7 +160,7 @@ def test_batch_like_one_by_one(spark, base, hot_rows):
             alive[result] = f"c{n}"
         else:
             del alive[result]
-    got = batch(spark, base, changes, hot_rows=hot_rows)
+    got = batch(spark, base, changes, folder=str(tmp_path) if written else None)
     assert {r.change_id for r in got.rejected.collect()} == rejected
     assert {r.change_id for r in got.created.collect()} == created
     after = {r.id: r.comment for r in got.results_after.where("id <= 8").collect()}
@@ -172,20 +172,34 @@ def test_batch_like_one_by_one(spark, base, hot_rows):
 
 def test_only_touched_periods_are_rewritten(spark, base, tmp_path):
     path = str(tmp_path / "results")
-    wr.append(base["results"], path, ["academic_period_id"])
-    stored = spark.read.schema(base["results"].schema).parquet(path)
+    wr.replace_periods(base["results"], path, [1, 2])
+    before = dict(wr.period_folders(spark, path))
+    stored = wr.read_periods(spark, path, base["results"].schema)
     got = batch(spark, {**base, "results": stored}, [
         (1, "update", 3, 1, 2, 9, "regular", "1", "x", "", "new"),
         (2, "delete", 1) + (None,) * 8,
     ])
     assert got.touched_periods == [2]
-    old_files = sorted((tmp_path / "results" / "academic_period_id=1").iterdir())
     expected = rows(got.results_after.select("id", "comment", "academic_period_id"))
-    wr.rewrite_periods(got.results_after, path, got.touched_periods)
-    back = spark.read.schema(base["results"].schema).parquet(path)
+    wr.replace_periods(got.results_after, path, got.touched_periods)
+    back = wr.read_periods(spark, path, base["results"].schema)
     assert rows(back.select("id", "comment", "academic_period_id")) == expected
     assert back.count() == 7
-    assert sorted((tmp_path / "results" / "academic_period_id=1").iterdir()) == old_files
+    after = dict(wr.period_folders(spark, path))
+    assert after[1] == before[1] and after[2] != before[2]
+
+
+def test_oversized_sums_are_rejected(spark, base):
+    """Each number fits its column, their sum does not."""
+    large = base["criteria"].withColumn("base_score", F.lit("99999999").cast("decimal(12,4)"))
+    got = batch(spark, {**base, "criteria": large}, [
+        (1, "create", None, 1, 1, 9, "regular", "99999999", "", "", ""),
+        (2, "update", 3, 1, 1, 9, "regular", "99999999", "", "", ""),
+        (3, "create", None, 1, 1, 9, "regular", "0.5", "", "", ""),
+    ])
+    assert [(r.change_id, r.rules) for r in got.rejected.orderBy("change_id").collect()] == [
+        (1, ["total_score_precision"]), (2, ["total_score_precision"])]
+    assert got.created.count() == 1 and got.results_after.count() == 9
 
 
 def test_small_batch_does_not_shuffle_the_table(spark, base, tmp_path):

@@ -9,38 +9,6 @@ from meritpool.operators.ids import assign_ids, highest_id
 from tests.conftest import rows
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
-def test_skew_join_is_a_join(spark, how):
-    """A third of the rows under one key, and another third without a key."""
-    left = spark.range(900).select(
-        F.col("id").alias("n"),
-        F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).alias("k"),
-    )
-    right = spark.range(0, 1000, 7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    hot = joins.hot_key_hashes(left, ["k"], 100)
-    assert len(hot) == 2
-    plain = left.join(right, ["k"], how)
-    salted = joins.skew_join(left, right, ["k"], how, ["n"], hot_rows=100)
-    assert salted.columns == plain.columns
-    assert rows(salted) == rows(plain)
-
-
-def test_skew_join_spreads_the_hot_key(spark):
-    left = spark.range(3000).select(F.col("id").alias("n"), F.lit(1).alias("k"))
-    salts = left.select(joins._salt(["n"], joins.SALTS).alias("s")).groupBy("s").count().collect()
-    assert len(salts) == joins.SALTS
-    assert max(r["count"] for r in salts) < 3 * 3000 / joins.SALTS
-
-
-def test_skew_join_by_part_of_the_key(spark):
-    left = spark.range(300).select(F.col("id").alias("n"), F.lit(1).alias("a"), (F.col("id") % 2).alias("b"))
-    right = spark.createDataFrame([(1, 0, "x"), (1, 1, "y")], "a int, b bigint, v string")
-    got = joins.skew_join(
-        left, right, ["a", "b"], "left", ["n"], hot_rows=50, hot_in=left.select("a"), hot_on=["a"]
-    )
-    assert rows(got) == rows(left.join(right, ["a", "b"], "left"))
-
-
 def test_spread_join_is_a_join(spark):
     left = spark.range(500).select(F.col("id").alias("n"), (F.col("id") % 4).alias("k"))
     right = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k bigint, v string")
@@ -49,10 +17,10 @@ def test_spread_join_is_a_join(spark):
         assert rows(got) == rows(left.join(right, ["k"], how))
 
 
-def test_hot_keys_are_bounded(spark):
-    left = spark.range(100_000).select(F.col("id").alias("k"))
-    assert joins.hot_key_hashes(left, ["k"], 10) == []
-    assert joins.SLICES * joins.KEYS_PER_SLICE <= 10_000
+def test_join_apart_is_a_join(spark):
+    left = spark.range(300).select(F.col("id").alias("n"), (F.col("id") % 7).alias("k"))
+    least = left.groupBy("k").agg(F.min("n").alias("m"))
+    assert rows(left.join(joins.apart(least), "k")) == rows(left.join(least, "k"))
 
 
 def test_ids_are_dense_and_repeatable(spark):

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from meritpool import schemas
-from meritpool.operators.ids import assign_ids
 from meritpool.operators.quality import conform, row_violations, unique_violations
 from meritpool.plans import imports as im
 from meritpool.plans import snapshot as sn
@@ -19,22 +18,21 @@ from tests.conftest import rows
 def imported(spark):
     tables = seed.base_tables(spark)
     results, matrix = seed.staged(spark)
-    zero = F.lit(0)
     students = im.new_students(tables.students, results, matrix).cache()
     none = spark.createDataFrame([], schemas.ENROLLMENTS.struct)
-    enrollments = assign_ids(
-        im.new_enrollments(none, matrix, students, tables.periods, seed.PERIOD),
-        im.ENROLLMENT_KEY, zero,
+    enrollments = im.enrollment_inserts(
+        im.new_enrollments(none, matrix, students, tables.periods, seed.PERIOD), none
     ).cache()
     none = spark.createDataFrame([], schemas.ASSIGNMENTS.struct)
-    assignments = assign_ids(
+    assignments = im.assignment_inserts(
         im.new_assignments(none, matrix, students, tables.teachers, tables.periods, seed.PERIOD),
-        im.ASSIGNMENT_KEY, zero,
+        none,
     ).cache()
     loaded, rejected = im.import_results(
         results, students, enrollments, tables.criteria, tables.periods, seed.PERIOD
     )
-    loaded = assign_ids(loaded, ["row_key"], zero).cache()
+    none = spark.createDataFrame([], schemas.RESULTS.struct)
+    loaded = im.result_inserts(loaded, none).cache()
     return replace(
         tables, students=students, enrollments=enrollments, assignments=assignments,
         results=loaded,
@@ -118,11 +116,6 @@ def test_second_load_changes_nothing(spark, imported):
     assert again.count() == 0
 
 
-def test_hot_keys_change_nothing(imported):
-    tables, _ = imported
-    assert rows(su.teacher_summary(tables, hot_rows=1)) == rows(su.teacher_summary(tables))
-
-
 def test_snapshot_rounds_by_type_and_fits_its_rules(imported):
     tables, _ = imported
     stored = sn.snapshot_rows(tables, [1])
@@ -235,13 +228,30 @@ def test_import_edges(spark, imported):
     assert [(r.row_key, r.rules) for r in rejected.collect()] == [("r2", ["grade_at_result_required"])]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 2])
-def test_teachers_of_one_name_meet_in_the_snapshot(imported, hot_rows):
-    """Both rows go under the smaller id, and the unique rule names them."""
+def test_teachers_of_one_name_are_diverted(imported):
+    """Both rows would go under the smaller id, against the unique rule."""
     tables, _ = imported
     name = F.when(F.col("id").isin(1, 2), F.lit("Same")).otherwise(F.col("full_name"))
     same = replace(tables, teachers=tables.teachers.withColumn("full_name", name))
-    stored = sn.snapshot_rows(same, [1], hot_rows=hot_rows)
-    assert sorted(r.teacher_id for r in stored.collect())[:3] == [1, 1, 3]
-    found = unique_violations(stored, schemas.CALCULATIONS).collect()
-    assert [(r.row_key, r.n_rows) for r in found] == [("1|1", 2)]
+    stored, rejects = sn.snapshot_rows(same, [1]), sn.snapshot_rejects(same, [1])
+    assert sorted(r.teacher_id for r in stored.collect())[:2] == [3, 4]
+    assert [(r.teacher_id, r.rules) for r in rejects.collect()] == [
+        (1, ["academic_period_id_teacher_id_unique"])] * 2
+    assert unique_violations(stored, schemas.CALCULATIONS).count() == 0
+    assert stored.count() + rejects.count() == sn.snapshot_rows(tables, [1]).count()
+
+
+def test_null_scores_are_rejected(imported, spark):
+    tables, _ = imported
+    results, _ = seed.staged(spark)
+    first = results.orderBy("row_key").first().row_key
+    score = F.when(F.col("row_key") != first, F.lit(99999998)).cast("decimal(12,4)")
+    bad = results.withColumns(
+        {"base_score": score, "dynamic_bonus": F.lit("99999999").cast("decimal(12,4)")}
+    )
+    loaded, rejected = im.import_results(
+        bad, tables.students, tables.enrollments, tables.criteria, tables.periods, seed.PERIOD
+    )
+    rules = sorted(",".join(r.rules) for r in rejected.collect())
+    assert loaded.count() == 0
+    assert rules == ["base_score_required"] + ["total_score_precision"] * 13

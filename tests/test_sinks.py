@@ -36,15 +36,36 @@ def test_aborted_version_is_not_seen(spark, tmp_path):
     assert [r.code for r in wr.read_version(spark, root, SCHEMA).collect()] == ["a"]
 
 
+PERIOD_SCHEMA = "v string, academic_period_id bigint"
+
+
 def test_period_is_replaced_also_by_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "academic_period_id bigint, v string")
-    wr.append(df, path, ["academic_period_id"])
-    wr.write_period(df.limit(0), path, 1)
-    schema = "v string, academic_period_id bigint"
-    assert rows(spark.read.schema(schema).parquet(path)) == [("b", 2)]
-    wr.write_period(df.withColumn("v", F.lit("c")), path, 2)
-    assert rows(spark.read.schema(schema).parquet(path)) == [("c", 2)]
+    df = spark.createDataFrame([("a", 1), ("b", 2)], PERIOD_SCHEMA)
+    wr.replace_periods(df, path, [1, 2])
+    wr.replace_periods(df.limit(0), path, [1])
+    assert rows(wr.read_periods(spark, path, df.schema)) == [("b", 2)]
+    wr.replace_periods(df.withColumn("v", F.lit("c")), path, [2])
+    assert rows(wr.read_periods(spark, path, df.schema)) == [("c", 2)]
+
+
+def test_a_failed_write_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("a", 1), ("b", 2)], PERIOD_SCHEMA)
+    wr.replace_periods(df, path, [1, 2])
+    broken = df.withColumn("v", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        wr.replace_periods(broken, path, [1, 2])
+    assert rows(wr.read_periods(spark, path, df.schema)) == [("a", 1), ("b", 2)]
+
+
+def test_a_table_may_be_rewritten_from_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("a", 1), ("b", 2)], PERIOD_SCHEMA)
+    wr.replace_periods(df, path, [1, 2])
+    own = wr.read_periods(spark, path, df.schema)
+    wr.replace_periods(own.withColumn("v", F.concat("v", "v")), path, [1])
+    assert rows(wr.read_periods(spark, path, df.schema)) == [("aa", 1), ("b", 2)]
 
 
 def test_append(spark, tmp_path):
@@ -57,39 +78,76 @@ def test_append(spark, tmp_path):
 def test_landing_rows_have_their_own_key(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "a.csv").write_text(
-        "student_name,criterion_name,base_score,dynamic_bonus,total_score\n"
-        "S,C,1.5,,1.5\nS,C,1.5,,1.5\n", encoding="utf-8",
-    )
-    got = tb.read_landing(spark, schemas.STAGED_RESULTS, str(folder))
-    assert got.count() == 2 and got.select("row_key").distinct().count() == 2
-    assert got.first().dynamic_bonus is None
-    (folder / "b.csv").write_text(
-        "student_name,criterion_name,base_score,dynamic_bonus,total_score\nS,C,x,,1\n",
-        encoding="utf-8",
-    )
-    with pytest.raises(Exception):
-        tb.read_landing(spark, schemas.STAGED_RESULTS, str(folder)).collect()
+    head = "student_name,criterion_name,base_score,dynamic_bonus,total_score\n"
+    body = "S,C,1.5,,1.5\nS,C,1.5,,1.5\n" + "".join(f"S{i},C,{i}.5,,1\n" for i in range(200))
+    (folder / "a.csv").write_text(head + body, encoding="utf-8")
+    (folder / "b.csv").write_text(head + "S,C,x,,1\nS,C,2,,1\n", encoding="utf-8")
+
+    def read():
+        return tb.read_landing(spark, schemas.STAGED_RESULTS, str(folder))
+
+    good, bad = read()
+    keys = {r.row_key for r in good.collect()}
+    assert good.count() == len(keys) == 203
+    assert [(r.base_score, r.rules) for r in bad.collect()] == [("x", ["base_score_type"])]
+    assert good.where("student_name = 'S'").first().dynamic_bonus is None
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    again = {r.row_key for r in read()[0].collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert again == keys
 
 
 def test_rebuild_of_a_period(spark, star, tmp_path):
     """Stored rows of the year are replaced, its items go, others stay."""
     calculations, items = str(tmp_path / "calc"), str(tmp_path / "items")
-    wr.append(star.calculations, calculations, ["academic_period_id"])
-    wr.append(star.items, items, ["academic_period_id"])
-    before = spark.read.parquet(calculations).where("academic_period_id <> 1997").count()
+    years = [r.id for r in star.periods.collect()]
+    old = star.calculations.drop("id")
+    wr.replace_periods(old, calculations, years)
+    wr.replace_periods(star.items, items, years)
     log = sn.rebuild_period(star, 1997, calculations, items)
-    stored = spark.read.parquet(f"{calculations}/academic_period_id=1997")
+
+    def stored():
+        return wr.read_periods(spark, calculations, old.schema)
+
     expected = su.teacher_summary(star, periods=[1997])
-    assert stored.count() == expected.count() > 0
+    n = stored().where("academic_period_id = 1997").count()
+    assert n == expected.count() > 0
     row = log.first()
-    assert row.entity_id == "1997" and f'"inserted":{stored.count()}' in row.details
-    others = spark.read.option("mergeSchema", True).parquet(calculations)
-    assert others.where("academic_period_id <> 1997").count() == before
-    assert spark.read.parquet(items).where("academic_period_id = 1997").count() == 0
-    assert spark.read.parquet(items).count() > 0
+    assert row.entity_id == "1997" and f'"inserted":{n}' in row.details
+    others = "academic_period_id <> 1997"
+    assert stored().where(others).count() == old.where(others).count()
+    left = wr.read_periods(spark, items, star.items.schema)
+    assert left.where("academic_period_id = 1997").count() == 0 and left.count() > 0
     sn.rebuild_period(star, 2030, calculations)
-    assert spark.read.parquet(f"{calculations}/academic_period_id=2030").count() == 0
+    assert stored().where("academic_period_id = 2030").count() == 0
+
+
+def test_a_failed_rebuild_leaves_calculations_and_items(spark, star, tmp_path):
+    calculations, items = str(tmp_path / "calc"), str(tmp_path / "items")
+    wr.replace_periods(star.calculations.drop("id"), calculations, [1997])
+    wr.replace_periods(star.items, items, [1997])
+    before = [dict(wr.period_folders(spark, p)) for p in (calculations, items)]
+    stop = F.raise_error(F.lit("stop")).cast("decimal(12,4)")
+    broken = replace(tables_of(star), results=star.results.withColumn("total_score", stop))
+    with pytest.raises(Exception, match="stop"):
+        sn.rebuild_period(broken, 1997, calculations, items)
+    assert [dict(wr.period_folders(spark, p)) for p in (calculations, items)] == before
+
+
+def tables_of(star):
+    names = ("assignments", "results", "teachers", "periods", "settings")
+    return tb.Tables(**{n: getattr(star, n) for n in names})
+
+
+def test_appended_log_rows_head_the_list(spark, star):
+    new = wr.log_rows(star.students, F.lit("create"), "students", F.col("id"))
+    rows_ = wr.log_inserts(new, star.log)
+    log = star.log.unionByName(rows_.select(*star.log.columns))
+    n = star.students.count()
+    newest = rp.recent_log(tb.Tables(log=log)).limit(min(n, 300)).collect()
+    assert {r.entity_type for r in newest} == {"students"}
 
 
 def test_exports(spark, star, tmp_path):
