@@ -114,7 +114,7 @@ def search_results(
     grade: str | int | None = None, n: int | None = None,
 ) -> DataFrame:
     """Results that match, of all or of the newest ``n`` that a list shows."""
-    listed = all_results(tables) if n is None else recent_results(tables, n)
+    listed = all_results(tables).select(*RESULT_COLUMNS) if n is None else recent_results(tables, n)
     return listed.where(result_filter(query, track, grade))
 
 
