@@ -583,6 +583,83 @@ def dq_references(s):
     return quality.reference_violations(s.broken_results, schemas.RESULTS, parents)
 
 
+def _violations(df, table):
+    return quality.row_violations(df, table, kinds=("checks", "required", "enum", "length"))
+
+
+@query
+def dq_assignment_rows(s):
+    """Assignments with something wrong at certain quantities and taxes."""
+    quantity = F.col("quantity")
+    rows = s.lines.select(
+        F.col("line_key").alias("id"),
+        F.when(quantity != 3, F.col("student_id")).alias("student_id"),
+        F.when(F.col("tax") == 0.08, F.col("grade") + 3).otherwise(F.col("grade")).alias("grade"),
+        F.when(quantity == 11, "evening").otherwise(F.col("grade_track")).alias("grade_track"),
+        F.when(F.col("tax") == 0.01, "helper").otherwise("main").alias("assignment_type"),
+        F.when(quantity == 5, 0).when(quantity == 6, 150).otherwise(25).alias("share_percent"),
+    )
+    return _violations(rows, schemas.ASSIGNMENTS)
+
+
+@query
+def dq_link_rows(s):
+    quantity = F.col("quantity")
+    rows = s.lines.select(
+        F.col("line_key").alias("id"),
+        F.when(quantity != 7, F.col("teacher_id")).alias("teacher_id"),
+        F.when(quantity == 5, 0).otherwise(100).alias("share_percent"),
+        F.when(quantity == 6, -1).when(quantity != 8, 1).alias("score_assigned"),
+    )
+    return _violations(rows, schemas.LINKS)
+
+
+@query
+def dq_criteria_rows(s):
+    size = F.col("p_size")
+    rows = s.read("part").select(
+        F.col("p_partkey").alias("id"),
+        F.when(size != 1, F.col("p_name")).alias("name"),
+        F.when(size == 2, -size).otherwise(size).alias("base_score"),
+        F.when(size == 3, -1).alias("max_dynamic_bonus"),
+        F.when(size == 4, F.repeat(F.lit("x"), 101)).otherwise(F.lit("c")).alias("code"),
+    )
+    return _violations(rows, schemas.CRITERIA)
+
+
+@query
+def dq_weight_rows(s):
+    quantity = F.col("quantity")
+    rows = s.lines.select(
+        F.col("line_key").alias("id"),
+        F.when(quantity != 9, F.col("criterion_id")).alias("criterion_id"),
+        F.when(quantity == 10, 1).otherwise(F.col("grade")).alias("grade"),
+        F.when(quantity == 12, "").otherwise(F.col("grade_track")).alias("grade_track"),
+        F.when(quantity == 13, -1).otherwise(1).alias("weight_value"),
+    )
+    return _violations(rows, schemas.WEIGHTS)
+
+
+@query
+def dq_student_rows(s):
+    balance = F.col("c_acctbal")
+    rows = s.read("customer").select(
+        F.col("c_custkey").alias("id"),
+        F.when(balance >= 0, F.col("c_name")).alias("full_name"),
+        F.when(balance > 5000, F.repeat(F.lit("x"), 101)).alias("last_name"),
+    )
+    return _violations(rows, schemas.STUDENTS)
+
+
+@query
+def dq_enrollment_references(s):
+    """Students of even number and years before 1994 are not there."""
+    parents = {
+        "students": s.students.where("id % 2 = 1"), "academic_periods": s.periods.where("id >= 1994"),
+    }
+    return quality.reference_violations(s.enrollments, schemas.ENROLLMENTS, parents)
+
+
 @query
 def dq_restrict(s):
     deleted = s.criteria.where("not is_active")
