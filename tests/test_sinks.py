@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,7 +148,7 @@ def test_appended_log_rows_head_the_list(spark, star):
     rows_ = wr.log_inserts(new, star.log)
     log = star.log.unionByName(rows_.select(*star.log.columns))
     n = star.students.count()
-    newest = rp.recent_log(tb.Tables(log=log)).limit(min(n, 300)).collect()
+    newest = rp.recent_log(log).limit(min(n, 300)).collect()
     assert {r.entity_type for r in newest} == {"students"}
 
 
@@ -177,3 +179,13 @@ def test_log_rows(spark):
 
 def test_lookup_tracks(spark):
     assert [r.value for r in rp.lookup_tracks(spark).collect()] == list(schemas.TRACKS)
+
+
+def test_lists_come_in_their_order(spark, star):
+    """Newest first by id; look-ups by name."""
+    ids = [r.id for r in rp.recent_results(star, 50).collect()]
+    assert ids == sorted(ids, reverse=True) and len(ids) == 50
+    logged = [r.id for r in rp.recent_log(star.log).collect()]
+    assert logged == sorted(logged, reverse=True)
+    names = [r.full_name for r in rp.lookup_students(star.students).collect()]
+    assert names == sorted(names)
