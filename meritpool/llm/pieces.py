@@ -32,9 +32,9 @@ DENSE = 255
 #: Below the lowest piece score, as the public library sets it for characters without a piece.
 UNKNOWN_PENALTY = 10.0
 #: Different words that go through the automaton side by side.
-LANES = 1 << 16
+LANES = 1 << 14
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -470,7 +470,7 @@ def automaton(vocabulary: Vocabulary) -> Automaton:
     return _built[vocabulary]
 
 
-def encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, block: int = 1 << 24) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, block: int = 1 << 22) -> DataFrame:
     """doc_id, ids, n_ids, n_bytes_ids and round_trip for each row of ``docs``.
 
     ids segment the whole text; round_trip says whether decoding them gives the
