@@ -20,7 +20,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         centre = around.select(F.col("v").alias("c"), F.col("u").alias("n"))
     else:
         centre = edges.select(F.col("v").alias("c"), F.col("u").alias("n"))
-    least = centre.groupBy("c").agg(F.least(F.min("n"), F.col("c")).alias("m")).hint("rebalance", "c")
+    least = centre.groupBy("c").agg(F.least(F.min("n"), F.col("c")).alias("m")).hint("rebalance")
     joined = centre.join(least, "c")
     if large:
         out = joined.where("n > c").select(F.col("n").alias("v"), F.col("m").alias("u"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritpool.session import shared_folder
-
 #: Bytes of text that the numpy helpers look at together; a longer text goes alone.
 BLOCK_BYTES = 1 << 20
 
@@ -41,6 +40,20 @@ def ship(spark: SparkSession) -> None:
     _shipped[context.applicationId] = folder
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session that runs in one process gets one of its own where that is unset.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def landed(df: DataFrame) -> DataFrame:
     """``df`` written once to the folder of ``spark.checkpoint.dir`` and read back.
 

@@ -86,7 +86,7 @@ def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     have an exchange on both sides, so that Spark can split its rows.
     """
     prints = docs.select("doc_id", text_key().alias("key"), F.inline(_prints(F.col("text"), run)))
-    shared = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print").hint("rebalance", "print")
+    shared = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print").hint("rebalance")
     around = prints.join(shared, "print", "left_semi")
 
     def window(i: Column) -> Column:
@@ -101,7 +101,7 @@ def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
         .drop("n")
-        .hint("rebalance", "h", "g")
+        .hint("rebalance")
     )
     return windows.join(first, ["h", "g"]).where(~F.struct("doc_id", "key", "start").eqNullSafe(F.col("first"))).drop("h", "g")
 

@@ -110,7 +110,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).hint("rebalance", "root")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).hint("rebalance")
     named = landed(rooted.join(least, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

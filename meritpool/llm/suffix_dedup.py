@@ -193,7 +193,7 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
         .select("doc_id", "key", (F.col("start") + F.col("at")).alias("low"), "gram", F.xxhash64(window).alias("h"), F.hash(window).alias("g"))
         .distinct()  # repeated rows bring a run twice
     )
-    twice = windows.groupBy("gram", "h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n").hint("rebalance", "gram", "h", "g")
+    twice = windows.groupBy("gram", "h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n").hint("rebalance")
     return windows.join(twice, ["gram", "h", "g"], "left_semi").select("doc_id", "key", "low", (F.col("low") + length).alias("high"))
 
 
@@ -208,7 +208,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
         .agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("differ"))
         .where("n > 1")
         .drop("n")
-        .hint("rebalance", "gram")
+        .hint("rebalance")
     )
     met = landed(runs.join(grams, "gram"))
     end = F.col("start") + F.col("windows") - 1 + length
@@ -220,14 +220,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "key", "start", "windows", "place"))
         )
     )
-    copied = kinds.where("n > 1").select("gram", "content").hint("rebalance", "gram", "content")
+    copied = kinds.where("n > 1").select("gram", "content").hint("rebalance")
     copies = differ.join(copied, ["gram", "content"], "left_semi").select("doc_id", "key", F.col("start").alias("low"), end.alias("high"))
     large = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).select("gram", (F.col("kinds") > group).alias("large"))
     wanted = (
-        kinds.join(large.hint("rebalance", "gram"), "gram")
+        kinds.join(large.hint("rebalance"), "gram")
         .groupBy("doc_id", "key")
         .agg(F.collect_list(F.struct("gram", "start", "windows", "place", "large")).alias("runs"))
-        .hint("rebalance", "doc_id", "key")
+        .hint("rebalance")
     )
     texts = docs.withColumnRenamed("doc_id", "id").withColumnRenamed("key", "k")
     match = texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["k"] == wanted["key"])
@@ -258,7 +258,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
         .groupBy("doc_id", "key")
         .agg(F.collect_set(F.struct("low", "high")).alias("spans"))
         .withColumnsRenamed({"doc_id": "id", "key": "k"})
-        .hint("rebalance", "id", "k")
+        .hint("rebalance")
     )
     joined = docs.join(spans_of, docs["doc_id"].eqNullSafe(spans_of["id"]) & (docs["key"] == spans_of["k"]), "left")
 
