@@ -34,23 +34,81 @@ RESULTS = [
     ("S14", "ЕГЭ 70–79", "8", "0", "8"),
 ]
 
-# Grade (c course, p practicum) = teacher, by student.
-MATRIX = {
-    "S01": "10=T08 11c=T08 11p=T08",
-    "S02": "11c=T04 11p=T04",
-    "S03": "10=T08 11c=T08 11p=T08",
-    "S04": "2=T17 3=T17 4=T17 5=T17 6=T17 7=T17 8=T17 9=T17 10=T17 11c=T17 11p=T17",
-    "S05": "2=T03 3=T03 4=T03 5=T03 6=T03 7=T13 8=T13 9=T13 10=T02 11c=T02 11p=T08",
-    "S06": "6=T12 7=T12 8=T12 9=T12 10=T08 11c=T08 11p=T08",
-    "S07": "5=T08 6=T08 7=T08 8=T08 9=T08 10=T08 11c=T08 11p=T08",
-    "S08": "9=T01",
-    "S09": "10=T02",
-    "S10": "5=T08 6=T08 7=T08 8=T08 9=T08",
-    "S11": "9=T04 10=T08 11c=T08 11p=T08",
-    "S12": "2=T06 3=T06 4=T06 5=T06 6=T06 9=T02 10=T08 11c=T08 11p=T04",
-    "S13": "10=T04 11c=T04 11p=T04",
-    "S14": "7=T07 10=T04 11c=T04 11p=T08",
-}
+# Student, grade, track, teacher.
+MATRIX = [
+    ("S01", "10", "regular", "T08"),
+    ("S01", "11", "course", "T08"),
+    ("S01", "11", "practicum", "T08"),
+    ("S02", "11", "course", "T04"),
+    ("S02", "11", "practicum", "T04"),
+    ("S03", "10", "regular", "T08"),
+    ("S03", "11", "course", "T08"),
+    ("S03", "11", "practicum", "T08"),
+    ("S04", "2", "regular", "T17"),
+    ("S04", "3", "regular", "T17"),
+    ("S04", "4", "regular", "T17"),
+    ("S04", "5", "regular", "T17"),
+    ("S04", "6", "regular", "T17"),
+    ("S04", "7", "regular", "T17"),
+    ("S04", "8", "regular", "T17"),
+    ("S04", "9", "regular", "T17"),
+    ("S04", "10", "regular", "T17"),
+    ("S04", "11", "course", "T17"),
+    ("S04", "11", "practicum", "T17"),
+    ("S05", "2", "regular", "T03"),
+    ("S05", "3", "regular", "T03"),
+    ("S05", "4", "regular", "T03"),
+    ("S05", "5", "regular", "T03"),
+    ("S05", "6", "regular", "T03"),
+    ("S05", "7", "regular", "T13"),
+    ("S05", "8", "regular", "T13"),
+    ("S05", "9", "regular", "T13"),
+    ("S05", "10", "regular", "T02"),
+    ("S05", "11", "course", "T02"),
+    ("S05", "11", "practicum", "T08"),
+    ("S06", "6", "regular", "T12"),
+    ("S06", "7", "regular", "T12"),
+    ("S06", "8", "regular", "T12"),
+    ("S06", "9", "regular", "T12"),
+    ("S06", "10", "regular", "T08"),
+    ("S06", "11", "course", "T08"),
+    ("S06", "11", "practicum", "T08"),
+    ("S07", "5", "regular", "T08"),
+    ("S07", "6", "regular", "T08"),
+    ("S07", "7", "regular", "T08"),
+    ("S07", "8", "regular", "T08"),
+    ("S07", "9", "regular", "T08"),
+    ("S07", "10", "regular", "T08"),
+    ("S07", "11", "course", "T08"),
+    ("S07", "11", "practicum", "T08"),
+    ("S08", "9", "regular", "T01"),
+    ("S09", "10", "regular", "T02"),
+    ("S10", "5", "regular", "T08"),
+    ("S10", "6", "regular", "T08"),
+    ("S10", "7", "regular", "T08"),
+    ("S10", "8", "regular", "T08"),
+    ("S10", "9", "regular", "T08"),
+    ("S11", "9", "regular", "T04"),
+    ("S11", "10", "regular", "T08"),
+    ("S11", "11", "course", "T08"),
+    ("S11", "11", "practicum", "T08"),
+    ("S12", "2", "regular", "T06"),
+    ("S12", "3", "regular", "T06"),
+    ("S12", "4", "regular", "T06"),
+    ("S12", "5", "regular", "T06"),
+    ("S12", "6", "regular", "T06"),
+    ("S12", "9", "regular", "T02"),
+    ("S12", "10", "regular", "T08"),
+    ("S12", "11", "course", "T08"),
+    ("S12", "11", "practicum", "T04"),
+    ("S13", "10", "regular", "T04"),
+    ("S13", "11", "course", "T04"),
+    ("S13", "11", "practicum", "T04"),
+    ("S14", "7", "regular", "T07"),
+    ("S14", "10", "regular", "T04"),
+    ("S14", "11", "course", "T04"),
+    ("S14", "11", "practicum", "T08"),
+]
 
 # The summary worked out from the rows above. Teacher, students
 # with results, all students, raw points, factor, normalised points, share,
@@ -69,16 +127,6 @@ SUMMARY = [
 ]
 
 
-def matrix_rows():
-    tracks = {"c": "course", "p": "practicum"}
-    out = []
-    for student, places in MATRIX.items():
-        for place in places.split():
-            grade, teacher = place.split("=")
-            out.append((student, grade.strip("cp"), tracks.get(grade[-1], "regular"), teacher))
-    return out
-
-
 def base_tables(spark) -> Tables:
     """Periods, staff, criteria and settings; nothing imported yet."""
     return Tables(
@@ -115,6 +163,6 @@ def staged(spark):
     )
     matrix = inline_rows(
         spark, ["student_name", "grade", "grade_track", "teacher_name"],
-        ["string", "smallint", "string", "string"], matrix_rows(),
+        ["string", "smallint", "string", "string"], MATRIX,
     )
     return results, matrix
