@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,21 +75,26 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts as (first row, end row, bytes, offsets); null is empty."""
+def blocks(
+    texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES, lower: bool = False
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts as (first row, end row, bytes, offsets); null is empty.
+
+    Only the texts of a run are converted at a time.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    if len(texts) == 0:
-        return
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, at, data = texts.buffers()
-    offsets = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     row = 0
     while row < len(texts):
-        end = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
-        end = min(max(end, row + 1), len(texts))
-        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        before = int(ends[row - 1]) if row else 0
+        end = max(row + 1, int(np.searchsorted(ends, before + limit, "right")))
+        part = texts.slice(row, end - row).cast(pa.large_string()).fill_null("")
+        part = pc.utf8_lower(part) if lower else part
+        _, at, data = part.buffers()
+        offsets = np.frombuffer(at, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        yield row, end, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         row = end
 
 
