@@ -7,6 +7,8 @@ totals back. Output columns are rounded like ``meritpool.catalog.plain``.
 
 from __future__ import annotations
 
+import re
+
 from meritpool import schemas
 from meritpool.catalog.plain import digits
 from meritpool.plans import reports
@@ -79,6 +81,7 @@ CTE = {
       SELECT DISTINCT cust, yr, grade, track,
              concat_ws('-', cust, yr, grade, track) AS id
       FROM lines""",
+    "broke": "SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0",
     "funds": """
       SELECT CAST(year(o_orderdate) AS BIGINT) AS yr,
              sum(CAST(o_totalprice AS DECIMAL(14,2))) AS total_fund,
@@ -509,6 +512,17 @@ OLD_STORED = ", ".join(
         moment("CAST(last_day AS TIMESTAMP)", "calculated_at"),
     ]
 )
+ask(
+    "snapshot_rejects",
+    "SELECT yr AS academic_period_id, first_id AS teacher_id, " + num("raw_points", "raw_points")
+    + ", all_students AS total_student_count, 'academic_period_id_teacher_id_unique' AS rules FROM ("
+    "SELECT c.yr, c.supp, coalesce(c.pts, 0) AS raw_points, c.all_students, n.first_id, "
+    "count(*) OVER (PARTITION BY c.yr, n.name) AS bearers FROM counted c JOIN ("
+    "SELECT s_suppkey, name, min(s_suppkey) OVER (PARTITION BY name) AS first_id FROM ("
+    "SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN 'Namesake ' || s_nationkey ELSE s_name END AS name FROM supplier)"
+    f") n ON n.s_suppkey = c.supp WHERE c.yr = {YEAR}) WHERE bearers > 1",
+    "counted",
+)
 ask("snapshot_rows", f"SELECT {IDS}, {NEW_STORED} FROM summed WHERE yr = {YEAR}", "summed")
 ask(
     "snapshot_replace",
@@ -574,6 +588,11 @@ ask(
     + f" FROM ({CARD_ITEM})",
     "lines", "people", "marks",
 )
+ask(
+    "card_summary_export",
+    f"SELECT {_headed(reports.CARD_SUMMARY_HEADINGS, SUMMARY_AMOUNTS)} FROM summed",
+    "summed",
+)
 ask(
     "card_calculation_export",
     "SELECT "
@@ -768,7 +787,14 @@ ask(
     "SELECT row_key, 'grade_at_result_required' AS rules FROM booked WHERE grade_at_result IS NULL",
     "booked",
 )
-
+ask(
+    "result_import_faulty",
+    "SELECT * FROM (SELECT row_key, concat_ws(',', "
+    "CASE WHEN grade_at_result IS NULL THEN 'grade_at_result_required' END, "
+    "CASE WHEN base_score = 3 THEN 'base_score_required' END, "
+    "CASE WHEN base_score = 4 THEN 'total_score_precision' END) AS rules FROM booked) WHERE rules <> ''",
+    "booked",
+)
 
 
 def numbered(rows: str, known: str) -> str:
@@ -782,9 +808,47 @@ def numbered(rows: str, known: str) -> str:
 
 ask("enrollment_ids", numbered(ORACLE["enrollments_insert_absent"], "SELECT count(*) FROM placed"), "placed")
 ask("assignment_ids", numbered(ORACLE["assignments_insert_absent"], "SELECT count(*) FROM taught"), "taught")
+ask("teacher_ids", numbered(ORACLE["teachers_insert_absent"], "SELECT max(s_suppkey) FROM supplier"))
+ask("period_ids", numbered("SELECT DISTINCT year(o_orderdate) FROM orders", "SELECT 0"))
+ask(
+    "criteria_ids",
+    "SELECT count(*) + count(*) FILTER (NOT known) AS n_rows, n_rows AS n_ids, min(p_partkey) AS first_id, "
+    "max(p_partkey) + count(*) FILTER (NOT known) AS last_id "
+    f"FROM (SELECT p_partkey, {KNOWN} AS known FROM part)",
+)
+ask(
+    "group_ids",
+    "SELECT n AS n_rows, n AS n_ids, 1 AS first_id, n AS last_id "
+    "FROM (SELECT count(DISTINCT p_type) + count(DISTINCT p_brand) AS n FROM part)",
+)
+ask(
+    "weight_ids",
+    "SELECT count(*) AS n_rows, 1 + count(*) - count(*) FILTER (old) AS n_ids, count(*) FILTER (old) AS first_id, "
+    "count(*) AS last_id FROM (SELECT bool_or(st = 'F') AS old FROM lines GROUP BY part, grade, track)",
+    "lines",
+)
 ask("result_ids", numbered(ORACLE["result_import"], "SELECT count(*) FROM lineitem"))
 ask("log_ids", numbered("SELECT 1 FROM events", "SELECT max(event_id) FROM events"))
 
+CTE["delivered"] = """
+      SELECT line_key AS row_key, base AS base_score, nullif(bonus, 0) AS dynamic_bonus,
+             strftime(ship_day, '%Y-%m') AS batch_id
+      FROM lines"""
+NEEDS["delivered"] = ["lines"]
+CORRECTED = "batch_id IN (SELECT batch_id FROM delivered WHERE batch_id LIKE '1997-%' AND base_score <> 1)"
+ask(
+    "load_repeated",
+    f"SELECT row_key, batch_id, {num('base_score', 'base_score')}, "
+    f"{num(f'CASE WHEN {CORRECTED} THEN coalesce(dynamic_bonus, 10) ELSE dynamic_bonus END', 'dynamic_bonus')} "
+    f"FROM delivered WHERE base_score <> 1 OR NOT {CORRECTED}",
+    "delivered",
+)
+ask(
+    "load_ledger",
+    f"SELECT batch_id, count(*) AS n_rows FROM delivered WHERE base_score <> 1 OR NOT {CORRECTED} GROUP BY batch_id",
+    "delivered",
+)
+
 # --- changes ----------------------------------------------------------------
 
 WRITTEN = ", ".join(
@@ -808,6 +872,21 @@ ask(
 ask("changes_deleted", "SELECT id FROM gone", "gone")
 ask("changes_rejected", "SELECT change_id, rules FROM judged WHERE rules <> ''", "judged")
 KEPT = WRITTEN.replace("result_date,", f"{day('result_date', 'result_date')},")
+CTE["asked_large"] = re.sub(
+    "WHEN bonus = 0 THEN ''", "WHEN bonus = 0 THEN '' WHEN CAST(bonus AS VARCHAR) LIKE '9%' THEN '99999999'", CTE["asked"]
+)
+CTE["ruled_large"] = CTE["ruled"].replace("FROM asked", "FROM asked_large")
+NEEDS["asked_large"], NEEDS["ruled_large"] = ["lines"], ["asked_large"]
+LARGE = (
+    "CASE WHEN m.base_score > 40 THEN 99999999 ELSE m.base_score END "
+    "+ coalesce(try_cast(nullif(bonus_text, '') AS DECIMAL(12,4)), 0) >= 100000000"
+)
+CTE["judged_large"] = CTE["judged"].replace("ruled ", "ruled_large ").replace(
+    "CASE WHEN op <> 'delete' AND p.id IS NULL",
+    f"CASE WHEN op <> 'delete' AND {LARGE} THEN 'total_score_precision' END, CASE WHEN op <> 'delete' AND p.id IS NULL",
+)
+NEEDS["judged_large"] = ["ruled_large", "results", "people", "marks"]
+ask("changes_oversized", "SELECT change_id, rules FROM judged_large WHERE rules <> ''", "judged_large")
 ask(
     "changes_results",
     f"SELECT id, {KEPT} FROM results WHERE id NOT IN (SELECT id FROM gone) "
@@ -845,6 +924,26 @@ ask(
     "judged",
 )
 
+# The summary once more, over the results as the batch leaves them.
+CTE["after"] = """
+      SELECT academic_period_id AS yr, student_id AS cust, grade_at_result AS grade, grade_track AS track,
+             base_score AS base, dynamic_bonus AS bonus
+      FROM results WHERE id NOT IN (SELECT id FROM gone)
+        AND id NOT IN (SELECT result_id FROM rows_written WHERE op = 'update')
+      UNION ALL
+      SELECT academic_period_id, student_id, grade_at_result, grade_track, base_score, dynamic_bonus
+      FROM rows_written
+      WHERE op = 'create' OR result_id NOT IN (SELECT id FROM gone)"""
+NEEDS["after"] = ["results", "rows_written", "gone"]
+_below = {"hits": "lines", "counted": "hits", "evened": "counted", "totalled": "evened", "summed": "totalled"}
+_named = {"lines": "after"}
+for _part, _source in _below.items():
+    _named[_part] = f"{_part}_after"
+    CTE[_named[_part]] = re.sub(rf"\b(FROM|JOIN) {_source}\b", rf"\1 {_named[_source]}", CTE[_part])
+    NEEDS[_named[_part]] = [_named[_source], *(n for n in NEEDS[_part] if n != _source)]
+NEEDS["hits_after"] = ["taught", "after"]
+ask("summary_after_changes", f"SELECT {SUMMARY} FROM summed_after", "summed_after")
+
 # --- validity rules ---------------------------------------------------------
 
 
@@ -955,10 +1054,75 @@ _rows(
     "dq_student_rows", "students", "customer", "c_custkey",
     {"full_name_required": "c_acctbal < 0", "last_name_length": "c_acctbal > 5000"},
 )
+_rows(
+    "dq_teacher_rows", "teachers", "supplier", "s_suppkey",
+    {
+        "dismissal_dated": "s_acctbal < 0 AND s_nationkey NOT IN (3, 4, 6, 7)",
+        "full_name_required": "s_nationkey = 3",
+        "is_dismissed_required": "s_nationkey = 6",
+        "short_name_length": "s_nationkey = 5",
+    },
+)
+_rows(
+    "dq_period_rows", "academic_periods", "orders", "o_orderkey",
+    {
+        "dates_in_order": "o_orderpriority = '2-HIGH'",
+        "date_end_required": "o_orderpriority = '5-LOW'",
+        "name_required": "o_orderpriority <> '1-URGENT' AND o_orderstatus = 'P'",
+        "name_length": "o_orderpriority = '1-URGENT'",
+    },
+)
+_rows(
+    "dq_group_rows", "criterion_groups", "part", "p_partkey",
+    {
+        "code_required": "p_size = 1", "code_length": "p_size = 2", "name_required": "p_size = 3",
+        "name_length": "p_size = 4", "sort_order_required": "p_size = 5",
+    },
+)
+_rows(
+    "dq_enrollment_rows", "student_enrollments", "lines", "line_key",
+    {
+        "student_id_required": "qty = 3", "academic_period_id_required": "qty = 6",
+        "grade_range": "tax = 0.08 AND grade + 3 > 11", "grade_label_length": "qty = 4",
+        "class_letter_length": "qty = 5", "grade_track_word": "qty = 11",
+    },
+    "lines",
+)
+_rows(
+    "dq_setting_rows", "calculation_settings", "orders", "o_orderkey",
+    {
+        "total_fund_not_negative": "o_orderstatus = 'F' AND o_totalprice > 0",
+        "total_fund_required": "o_orderstatus = 'P'",
+        "total_points_sum_not_negative": "o_orderpriority = '1-URGENT'",
+        "dismissed_fund_not_negative": "o_orderpriority = '2-HIGH'",
+        "uvsotr_value_not_negative": "o_orderpriority = '3-MEDIUM' AND o_totalprice > 0",
+        "avg_group_size_not_negative": "o_orderpriority = '5-LOW'",
+    },
+)
+_rows(
+    "dq_calculation_rows", "teacher_calculations", "lines", "line_key",
+    {
+        "teacher_id_required": "qty = 1", "raw_points_not_negative": "qty = 2", "raw_points_required": "qty = 3",
+        "normalized_points_not_negative": "qty = 4", "reverse_weight_not_negative": "qty = 5",
+        "employee_share_not_negative": "qty = 6", "uvsotr_amount_not_negative": "qty = 7",
+        "final_amount_not_negative": "qty = 8", "final_amount_required": "qty = 9",
+        "student_count_with_results_not_negative": "qty = 10", "total_student_count_not_negative": "qty = 11",
+    },
+    "lines",
+)
+_rows(
+    "dq_item_rows", "teacher_calculation_items", "lines", "line_key",
+    {
+        "student_result_id_required": "qty = 1", "base_points_not_negative": "qty = 2", "base_points_required": "qty = 3",
+        "normalized_points_not_negative": "qty = 4", "applied_share_percent_range": "qty IN (5, 6)",
+        "applied_share_percent_required": "qty = 7", "final_points_to_teacher_not_negative": "qty = 8",
+    },
+    "lines",
+)
 _rows(
     "dq_enrollment_references", "student_enrollments", "placed", "id",
-    {"student_id_known": "cust % 2 <> 1", "academic_period_id_known": "yr < 1994"},
-    "placed",
+    {"student_id_known": "cust IN (SELECT id FROM broke)", "academic_period_id_known": "grade = 7"},
+    "placed", "broke",
 )
 ask(
     "dq_restrict",
@@ -979,6 +1143,33 @@ ask(
     "WHERE cust NOT IN (SELECT id FROM people WHERE NOT known)",
     "taught", "people",
 )
+ask(
+    "dq_cascade_links",
+    "SELECT line_key AS student_result_id, supp AS teacher_id, " + num("base + bonus", "score_assigned")
+    + " FROM lines WHERE cust NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "lines",
+)
+ask(
+    "dq_cascade_items",
+    "SELECT concat_ws('-', yr, supp) AS teacher_calculation_id, line_key AS student_result_id, "
+    "cust AS student_id, " + num("base + bonus", "base_points") + " FROM lines WHERE yr <> 1997",
+    "lines",
+)
+ask(
+    "dq_cascade_counts",
+    "SELECT 'students' AS table_name, count(*) AS n_gone FROM customer WHERE c_acctbal < 0 "
+    "UNION ALL SELECT 'student_enrollments', count(*) FROM placed WHERE cust IN (SELECT id FROM broke) "
+    "UNION ALL SELECT 'student_results', count(*) FROM lines WHERE cust IN (SELECT id FROM broke)",
+    "lines", "placed", "broke",
+)
+ask(
+    "dq_restrict_below",
+    "SELECT 'teachers' AS table_name, u.rule, CAST(s_suppkey AS VARCHAR) AS row_key FROM supplier, "
+    "(VALUES ('used_by_student_teacher_assignments'), ('used_by_student_result_teacher_links'), "
+    "('used_by_teacher_calculations')) AS u(rule) "
+    "WHERE s_acctbal < 0 AND s_suppkey IN (SELECT supp FROM lines WHERE yr <> 1997)",
+    "lines",
+)
 ask(
     "dq_set_null",
     "SELECT id, CASE WHEN grade_at_result <> 5 THEN student_enrollment_id END "

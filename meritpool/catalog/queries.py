@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meritpool import schemas
 from meritpool.catalog.plain import plain
 from meritpool.functions.text import empty_to_null, iso_day, name_key
 from meritpool.operators import quality
+from meritpool.operators.deletes import deletion
 from meritpool.operators.inserts import id_summary
 from meritpool.operators.merge import upsert
 from meritpool.plans import changes as ch
 from meritpool.plans import imports as im
+from meritpool.plans import incremental as inc
+from meritpool.plans import loads as ld
 from meritpool.plans import reference_data as rd
 from meritpool.plans import reports as rp
 from meritpool.plans import snapshot as sn
 from meritpool.plans import summary as su
 from meritpool.sources.starschema import StarSchema
+from meritpool.sources.tables import Tables
 from meritpool.sources.writers import log_inserts, log_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +201,17 @@ def snapshot_rows(s):
     return _snapshot(s)
 
 
+@query
+def snapshot_rejects(s):
+    """Teachers of one nation share a name if their balance is high."""
+    shared = F.when(F.col("s_acctbal") > 5000, F.concat(F.lit("Namesake "), F.col("s_nationkey").cast("string")))
+    names = s.read("supplier").select(F.col("s_suppkey").alias("id"), shared.alias("shared"))
+    teachers = s.teachers.join(names, "id").withColumn("full_name", F.coalesce("shared", "full_name")).drop("shared")
+    tables = Tables(assignments=s.assignments, results=s.results, teachers=teachers, periods=s.periods, settings=s.settings)
+    rows = sn.snapshot_rejects(tables, [ONE_YEAR], F.lit("2024-01-01").cast("timestamp"))
+    return rows.select("academic_period_id", "teacher_id", "raw_points", "total_student_count", F.array_join("rules", ",").alias("rules"))
+
+
 @query
 def snapshot_replace(s):
     new = _snapshot(s).withColumn("id", F.concat_ws("-", "academic_period_id", "teacher_id"))
@@ -253,6 +268,11 @@ def card_calculation_export(s):
     return rp.card_export(s, s.calculation_history)["Calculation"]
 
 
+@query
+def card_summary_export(s):
+    return rp.card_export(s, s.calculation_history)["Summary"]
+
+
 @query
 def card_texts(s):
     latest = rp.card_calculation(s.calculation_history, s.teachers, s.periods)
@@ -404,6 +424,48 @@ def _as_numbered(df):
     return df.select(n.alias("id")).limit(1)
 
 
+@query
+def teacher_ids(s):
+    return id_summary(rd.teacher_inserts(s.teachers, s.given_teachers))
+
+
+@query
+def period_ids(s):
+    known = s.periods.where("false").withColumn("name", F.col("name"))
+    return id_summary(rd.period_inserts(known, s.periods.drop("id")))
+
+
+def _with_ids(rows, order):
+    """Known rows as a table stores them, numbered in their order."""
+    return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
+@query
+def criteria_ids(s):
+    """Known criteria keep their id, new ones go on from the highest."""
+    known = s.older_criteria.withColumn("id", F.regexp_replace("code", "[a-z]", "").cast("bigint"))
+    merged = rd.merged_criteria(known, s.given_criteria, s.groups)
+    return id_summary(rd.numbered_criteria(merged, known))
+
+
+@query
+def group_ids(s):
+    known = _with_ids(s.groups.drop("id").withColumn("description", F.lit(None).cast("string")), ["code"])
+    given = s.read("part").select(
+        F.lower("p_brand").alias("code"), F.col("p_brand").alias("name"),
+        F.lit("brand").alias("description"), F.length("p_brand").alias("sort_order"),
+    )
+    return id_summary(rd.numbered_groups(rd.merged_groups(known, given), known))
+
+
+@query
+def weight_ids(s):
+    """The older weights count from one; the numbers of new ones go on."""
+    n = s.older_weights.agg(F.count("*")).scalar()
+    known = s.older_weights.withColumn("id", n)
+    return id_summary(rd.numbered_weights(rd.merged_weights(known, s.given_weights, s.criteria), known))
+
+
 @query
 def enrollment_ids(s):
     return id_summary(im.enrollment_inserts(enrollments_insert_absent.plan(s), _as_numbered(s.enrollments)))
@@ -469,12 +531,57 @@ def result_import_rejected(s):
     return _import(s)[1].select("row_key", F.array_join("rules", ",").alias("rules"))
 
 
+def _deliveries(s):
+    """The staging rows in monthly batches; then again; then one year corrected,
+    with other bonuses and without the rows of one unit."""
+    day = F.substring_index("row_key", "-", -1).cast("int")
+    month = F.date_format(F.date_from_unix_date(day), "yyyy-MM")
+    first = s.staged_results.select("row_key", "base_score", "dynamic_bonus", month.alias("batch_id"))
+    corrected = first.where(F.col("batch_id").startswith(str(ONE_YEAR)) & (F.col("base_score") != 1))
+    return first, corrected.withColumn("dynamic_bonus", F.coalesce("dynamic_bonus", F.lit(10).cast("decimal(12,4)")))
+
+
+def _loaded_twice(s):
+    first, corrected = _deliveries(s)
+    nothing = s.spark.createDataFrame([], ld.ledger_schema(first.schema["batch_id"].dataType))
+    table, ledger = ld.loaded(first.where("false"), nothing, first)
+    table, ledger = ld.loaded(table, ledger, first)
+    return ld.loaded(table, ledger, corrected)
+
+
+@query
+def load_repeated(s):
+    """Batches loaded, loaded again, and some of them corrected."""
+    return _loaded_twice(s)[0]
+
+
+@query
+def load_ledger(s):
+    return _loaded_twice(s)[1].select("batch_id", "n_rows")
+
+
+@query
+def result_import_faulty(s):
+    """The rejects of staging rows without a score, or with scores too large together."""
+    large = F.lit(99999999).cast("decimal(12,4)")
+    score = F.col("base_score")
+    staged = s.staged_results.withColumns(
+        {
+            "base_score": F.when(score == 4, large).when(score != 3, score),
+            "dynamic_bonus": F.when(score == 4, large).otherwise(F.col("dynamic_bonus")),
+        }
+    )
+    rejected = im.import_results(staged, s.students, s.enrollments, s.criteria, s.periods, LOAD_YEAR)[1]
+    return rejected.select("row_key", F.array_join("rules", ",").alias("rules"))
+
+
 # --- changes ----------------------------------------------------------------
 
 
-def _batch(s):
+def _batch(s, changes=None, criteria=None):
     return ch.ChangeBatch(
-        s.changes, s.results, s.students, s.criteria, s.enrollments, s.periods, LOAD_YEAR,
+        s.changes if changes is None else changes, s.results, s.students,
+        s.criteria if criteria is None else criteria, s.enrollments, s.periods, LOAD_YEAR,
         with_ids=lambda rows: rows.withColumn("id", F.concat(F.lit("new-"), F.col("change_id"))),
     )
 
@@ -506,6 +613,20 @@ def changes_rejected(s):
     return _batch(s).rejected.select("change_id", F.array_join("rules", ",").alias("rules"))
 
 
+@query
+def changes_oversized(s):
+    """What is rejected where some criteria and bonuses do not fit together."""
+    large = F.col("base_score") > 40
+    criteria = s.criteria.withColumn(
+        "base_score", F.when(large, F.lit(99999999)).otherwise(F.col("base_score")).cast("decimal(12,4)")
+    )
+    changes = s.changes.withColumn(
+        "dynamic_bonus", F.when(F.col("dynamic_bonus").startswith("9"), "99999999").otherwise(F.col("dynamic_bonus"))
+    )
+    rejected = _batch(s, changes, criteria).rejected
+    return rejected.select("change_id", F.array_join("rules", ",").alias("rules"))
+
+
 @query
 def changes_results(s):
     return _batch(s).results_after.select("id", *_WRITTEN)
@@ -526,6 +647,15 @@ def changes_log(s):
     return _batch(s).log.drop("created_at")
 
 
+@query
+def summary_after_changes(s):
+    """The summary after the batch, from stored sums and what the batch adds to them."""
+    sums = inc.sums_after(
+        inc.student_sums(s.assignments, s.results), s.assignments, inc.score_changes(_batch(s))
+    )
+    return inc.summary_of(sums, s).select(*su.SUMMARY_COLUMNS)
+
+
 # --- validity rules ---------------------------------------------------------
 
 
@@ -651,13 +781,119 @@ def dq_student_rows(s):
     return _violations(rows, schemas.STUDENTS)
 
 
+@query
+def dq_teacher_rows(s):
+    nation = F.col("s_nationkey")
+    rows = s.read("supplier").select(
+        F.col("s_suppkey").alias("id"),
+        F.when(nation == 4, schemas.DEPARTED_POOL).when(nation != 3, F.col("s_name")).alias("full_name"),
+        F.when(nation == 5, F.repeat(F.lit("x"), 151)).otherwise("S.").alias("short_name"),
+        F.when(nation != 6, F.col("s_acctbal") < 0).alias("is_dismissed"),
+        F.when(nation == 7, F.lit("2024-01-01")).cast("date").alias("dismissed_at"),
+    )
+    return _violations(rows, schemas.TEACHERS)
+
+
+@query
+def dq_period_rows(s):
+    """Orders taken as periods of one day."""
+    priority, day = F.col("o_orderpriority"), F.col("o_orderdate").cast("date")
+    rows = s.read("orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.when(priority == "1-URGENT", F.repeat(F.lit("x"), 101)).when(F.col("o_orderstatus") != "P", "name").alias("name"),
+        day.alias("date_start"),
+        F.when(priority == "2-HIGH", F.date_sub(day, 1)).when(priority != "5-LOW", day).alias("date_end"),
+    )
+    return _violations(rows, schemas.PERIODS)
+
+
+@query
+def dq_group_rows(s):
+    size = F.col("p_size")
+    rows = s.read("part").select(
+        F.col("p_partkey").alias("id"),
+        F.when(size == 2, F.repeat(F.lit("x"), 51)).when(size != 1, "code").alias("code"),
+        F.when(size == 4, F.repeat(F.lit("x"), 256)).when(size != 3, "name").alias("name"),
+        F.when(size != 5, size).alias("sort_order"),
+    )
+    return _violations(rows, schemas.GROUPS)
+
+
+@query
+def dq_enrollment_rows(s):
+    quantity = F.col("quantity")
+    rows = s.lines.select(
+        F.col("line_key").alias("id"),
+        F.when(quantity != 3, F.col("student_id")).alias("student_id"),
+        F.when(quantity != 6, F.col("academic_period_id")).alias("academic_period_id"),
+        F.when(F.col("tax") == 0.08, F.col("grade") + 3).otherwise(F.col("grade")).alias("grade"),
+        F.when(quantity == 4, F.repeat(F.lit("x"), 51)).otherwise("9").alias("grade_label"),
+        F.when(quantity == 5, F.repeat(F.lit("x"), 11)).otherwise("b").alias("class_letter"),
+        F.when(quantity == 11, "evening").otherwise(F.col("grade_track")).alias("grade_track"),
+    )
+    return _violations(rows, schemas.ENROLLMENTS)
+
+
+@query
+def dq_setting_rows(s):
+    """Orders taken as settings."""
+    priority, price = F.col("o_orderpriority"), F.col("o_totalprice")
+    rows = s.read("orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderstatus") == "F", -price).when(F.col("o_orderstatus") != "P", price).alias("total_fund"),
+        F.when(priority == "1-URGENT", -1).alias("total_points_sum"),
+        F.when(priority == "2-HIGH", -1).otherwise(0).alias("dismissed_fund"),
+        F.when(priority == "3-MEDIUM", -price).alias("uvsotr_value"),
+        F.when(priority == "5-LOW", -1).otherwise(1).alias("avg_group_size"),
+    )
+    return _violations(rows, schemas.SETTINGS)
+
+
+@query
+def dq_calculation_rows(s):
+    quantity = F.col("quantity")
+    rows = s.lines.select(
+        F.col("line_key").alias("id"),
+        F.when(quantity != 1, F.col("teacher_id")).alias("teacher_id"),
+        F.when(quantity == 2, -1).when(quantity != 3, 1).alias("raw_points"),
+        F.when(quantity == 4, -1).alias("normalized_points"),
+        F.when(quantity == 5, -1).alias("reverse_weight"),
+        F.when(quantity == 6, -1).alias("employee_share"),
+        F.when(quantity == 7, -1).alias("uvsotr_amount"),
+        F.when(quantity == 8, -1).when(quantity != 9, 1).alias("final_amount"),
+        F.when(quantity == 10, -1).alias("student_count_with_results"),
+        F.when(quantity == 11, -1).alias("total_student_count"),
+    )
+    return _violations(rows, schemas.CALCULATIONS)
+
+
+@query
+def dq_item_rows(s):
+    quantity = F.col("quantity")
+    rows = s.lines.select(
+        F.col("line_key").alias("id"),
+        F.when(quantity != 1, F.col("line_key")).alias("student_result_id"),
+        F.when(quantity == 2, -1).when(quantity != 3, 1).alias("base_points"),
+        F.when(quantity == 4, -1).alias("normalized_points"),
+        F.when(quantity == 5, 0).when(quantity == 6, 101).when(quantity != 7, 50).alias("applied_share_percent"),
+        F.when(quantity == 8, -1).otherwise(1).alias("final_points_to_teacher"),
+    )
+    return _violations(rows, schemas.ITEMS)
+
+
 @query
 def dq_enrollment_references(s):
-    """Students of even number and years before 1994 are not there."""
-    parents = {
-        "students": s.students.where("id % 2 = 1"), "academic_periods": s.periods.where("id >= 1994"),
-    }
-    return quality.reference_violations(s.enrollments, schemas.ENROLLMENTS, parents)
+    """Whole parents; enrollments of the small balances name a student that is not
+    there, those of grade 7 a year that is not."""
+    poor = s.read("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("student_id"), F.lit(True).alias("poor"))
+    rows = s.enrollments.join(poor, "student_id", "left").withColumns(
+        {
+            "student_id": F.when(F.col("poor"), -F.col("student_id")).otherwise(F.col("student_id")),
+            "academic_period_id": F.when(F.col("grade") == 7, F.lit(1900)).otherwise(F.col("academic_period_id")),
+        }
+    )
+    parents = {"students": s.students, "academic_periods": s.periods}
+    return quality.reference_violations(rows, schemas.ENROLLMENTS, parents)
 
 
 @query
@@ -696,6 +932,50 @@ def dq_set_null(s):
     return left["student_results"].select("id", "student_enrollment_id")
 
 
+def _without_inactive_students(s):
+    return deletion(
+        {"students": s.students, "student_enrollments": s.enrollments, "student_results": s.results,
+         "student_teacher_assignments": s.assignments, "student_result_teacher_links": s.links,
+         "teacher_calculations": s.calculations, "teacher_calculation_items": s.items},
+        {"students": s.students.where("not is_active")},
+    )
+
+
+@query
+def dq_cascade_links(s):
+    """Links of the results of a student that goes, go too."""
+    left = _without_inactive_students(s).after["student_result_teacher_links"]
+    return left.select("student_result_id", "teacher_id", "score_assigned")
+
+
+@query
+def dq_cascade_items(s):
+    """Items go with the calculations and the results of a period."""
+    gone = deletion(
+        {"academic_periods": s.periods, "student_results": s.results,
+         "teacher_calculations": s.calculations, "teacher_calculation_items": s.items},
+        {"academic_periods": s.periods.where(F.col("id") == ONE_YEAR)},
+    )
+    return gone.after["teacher_calculation_items"].select("teacher_calculation_id", "student_result_id", "student_id", "base_points")
+
+
+@query
+def dq_cascade_counts(s):
+    return _without_inactive_students(s).counts()
+
+
+@query
+def dq_restrict_below(s):
+    """Dismissed teachers and a period are to go; what the period takes along
+    names no teacher any more, but rows of other periods do."""
+    gone = deletion(
+        {"academic_periods": s.periods, "teachers": s.teachers, "student_teacher_assignments": s.assignments,
+         "student_results": s.results, "student_result_teacher_links": s.links, "teacher_calculations": s.calculations},
+        {"academic_periods": s.periods.where(F.col("id") == ONE_YEAR), "teachers": s.teachers.where("is_dismissed")},
+    )
+    return gone.refused
+
+
 @query
 def dq_defaults(s):
     """Results that name neither bonus nor track get the defaults."""

@@ -9,6 +9,7 @@
   would not be shuffled again, and the adaptive planner would leave the join
   alone. Where a key can be hot the aggregate is ``apart``: it gets an exchange
   of its own, and the join is split as above.
+* A frame that several parts of one plan read (``once``): an exchange that they share.
 * Many rows joined to a frame with few keys, such as totals by period
   (``spread_join``): each key holds a large part of the rows, so all are salted
   and the small side is repeated.
@@ -39,6 +40,19 @@ def apart(aggregated: DataFrame) -> DataFrame:
     return aggregated.hint("rebalance")
 
 
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` behind one exchange by ``keys`` that carries its rows whole.
+
+    Frames made from the result ask for the same exchange, whatever rows and columns
+    each of them needs, and so one query fills it once and reads it several times.
+    Without this, filters and column pruning go below each reader's own copy and make the
+    copies differ. Rows are packed into a list of one, which neither gets through; the
+    outer form of unpacking keeps Spark from putting a test of the list below.
+    """
+    packed = df.select(*[F.col(k).alias(f"_by_{i}") for i, k in enumerate(keys)], F.array(F.struct(*df.columns)).alias("_row"))
+    return packed.repartition(*[f"_by_{i}" for i in range(len(keys))]).select(F.inline_outer("_row"))
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritpool.operators.merge import delete_keys, set_null
+from meritpool.operators.deletes import deletion
 from meritpool.schemas import ENUMS, Table
 
 
@@ -203,19 +203,10 @@ def restrict_violations(
 def cascade(
     deleted: DataFrame, children: Sequence[tuple[Table, DataFrame]], parent: Table
 ) -> dict[str, DataFrame]:
-    """What deletes in ``parent`` leave of its child tables: rows of a cascading
-    reference go, a set-null reference is emptied."""
-    left = {}
-    for child, rows in children:
-        for ref in child.references:
-            if ref.table != parent.name:
-                continue
-            if ref.on_delete == "cascade":
-                rows = delete_keys(rows, deleted, {ref.column: "id"})
-            elif ref.on_delete == "set_null":
-                rows = set_null(rows, deleted, ref.column)
-        left[child.name] = rows
-    return left
+    """What deletes in ``parent`` leave of the tables below it: rows of a cascading
+    reference go with all that hangs on them, a set-null reference is emptied."""
+    tables = {child.name: rows for child, rows in children}
+    return deletion(tables, {parent.name: deleted}).after
 
 
 def with_defaults(df: DataFrame, table: Table) -> DataFrame:

@@ -12,8 +12,11 @@ from meritpool import schemas
 from meritpool.operators.merge import delete_keys, replace_slice
 from meritpool.operators.quality import rule_list
 from meritpool.plans.summary import PERIOD, teacher_allocation
+from meritpool.sources.commits import Store
 from meritpool.sources.tables import Tables
-from meritpool.sources.writers import log_rows, read_periods, replace_periods
+from meritpool.sources.writers import log_rows
+
+CALCULATIONS, ITEMS = schemas.CALCULATIONS.name, schemas.ITEMS.name
 
 # Stored column -> summary column. Nulls are stored as 0 (or false).
 STORED = {
@@ -100,23 +103,19 @@ def rebuild_log(new: DataFrame, period_names: DataFrame) -> DataFrame:
     return log_rows(named, F.lit("recalculate"), "teacher_calculations", F.col(PERIOD), details)
 
 
-def rebuild_period(
-    tables: Tables, period_id: int, calculations_root: str, items_root: str | None = None
-) -> DataFrame:
-    """Rebuild the stored calculation of a period kept under ``calculations_root``.
+def rebuild_period(tables: Tables, period_id: int, store: Store) -> DataFrame:
+    """Rebuild the stored calculation of a period kept in ``store``.
 
-    The new rows are written in full before the period is switched to them; a job
-    that fails leaves the old calculation and its items. The items go last, as
-    nothing fills them again. Returns the log row to append.
+    The new rows and the period's items, which go as nothing fills them again, are one
+    commit: readers see both changes or neither. A job that fails, or another
+    writer who commits first, leaves both tables. Returns the log row to append.
     """
     new = snapshot_rows(tables, [period_id])
-    spark = new.sparkSession
-    replace_periods(new, calculations_root, [period_id])
-    if items_root is not None:
-        columns = [f for f in schemas.ITEMS.struct.fields if f.name != PERIOD]
-        empty = spark.createDataFrame([], T.StructType(columns))
-        replace_periods(
-            empty.withColumn(PERIOD, F.lit(period_id).cast("bigint")), items_root, [period_id]
-        )
-    stored = read_periods(spark, calculations_root, new.schema).where(F.col(PERIOD) == period_id)
+    change = store.begin()
+    change.replace_slices(CALCULATIONS, new, PERIOD, [period_id])
+    columns = [f for f in schemas.ITEMS.struct.fields if f.name != PERIOD]
+    items = new.sparkSession.createDataFrame([], T.StructType(columns))
+    change.replace_slices(ITEMS, items.withColumn(PERIOD, F.lit(period_id).cast("bigint")), PERIOD, [period_id])
+    version = change.commit()
+    stored = store.read(CALCULATIONS, new.schema, version).where(F.col(PERIOD) == period_id)
     return rebuild_log(stored, tables.periods.where(F.col("id") == period_id))

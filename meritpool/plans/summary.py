@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritpool.functions.scores import part_of_fund, reverse_weight, share_of
+from meritpool.functions.scores import exact_sum, part_of_fund, reverse_weight, share_of
 from meritpool.operators.joins import spread_join
 from meritpool.sources.tables import Tables
 
@@ -123,7 +123,7 @@ def period_totals(teachers: DataFrame) -> DataFrame:
 
     With the average of a period being one number, the total of raw * (avg / n)
     is avg * total of raw / n, so one aggregate gives all three. Map tasks send
-    one row per period.
+    one row per period, and the sums do not depend on the order of the rows.
     """
     n = F.col("student_count_with_results")
     raw = F.col("raw_points").cast("double")
@@ -131,8 +131,8 @@ def period_totals(teachers: DataFrame) -> DataFrame:
         teachers.groupBy(PERIOD)
         .agg(
             F.avg(F.when(n > 0, n)).alias("avg_group_size"),
-            F.sum(F.when(n > 0, raw / n)).alias("_points_per_student"),
-            F.sum(reverse_weight(raw)).alias("total_reverse_weight"),
+            exact_sum(F.when(n > 0, raw / n)).alias("_points_per_student"),
+            exact_sum(reverse_weight(raw)).alias("total_reverse_weight"),
         )
         .select(
             PERIOD, "avg_group_size",
@@ -208,7 +208,13 @@ def teacher_allocation(tables: Tables, periods: Sequence[int] | None = None) ->
     Everything that hangs on the period alone (totals, name, settings) is
     brought together first, a few rows, and joined to the teachers once.
     """
-    teachers = scored_teachers(tables, periods)
+    return allocation_of(scored_teachers(tables, periods), tables, periods)
+
+
+def allocation_of(
+    teachers: DataFrame, tables: Tables, periods: Sequence[int] | None = None
+) -> DataFrame:
+    """The same from counts and points by period and teacher."""
     names = tables.periods.select(F.col("id").alias(PERIOD), F.col("name").alias("academic_period"))
     by_period = (
         period_totals(teachers)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meritpool import schemas
@@ -37,8 +37,13 @@ def read_table(spark: SparkSession, table: schemas.Table, path: str) -> DataFram
     return spark.read.schema(table.struct).parquet(path)
 
 
+#: Copies of one row of a file that one task numbers together.
+COPIES = 10_000
+
+
 def read_landing(
-    spark: SparkSession, table: schemas.Table, path: str, fmt: str = "csv", header: bool = True
+    spark: SparkSession, table: schemas.Table, path: str, fmt: str = "csv", header: bool = True,
+    copies: int = COPIES,
 ) -> tuple[DataFrame, DataFrame]:
     """Staging rows from a landing folder, and the rows with a bad cell.
 
@@ -46,19 +51,25 @@ def read_landing(
     tells copies of a row in a file apart. The key stays the same however the
     files are split. Cells are read as text and cast; a row with a text that does
     not fit its type is diverted as it came, with ``rules``, and ends no load.
+
+    Copies are counted, not gathered: a map task sends one row for all its copies
+    of a row. The count is then dealt out in runs of ``copies``, and each run is
+    numbered where it is, so a file that repeats one row spreads over the tasks.
     """
     names = [c.name for c in table.columns]
     reader = spark.read.schema(", ".join(f"`{n}` string" for n in names))
     if fmt == "csv":
         reader = reader.option("header", header)
+    text = reader.format(fmt).load(path).select(*names, F.col("_metadata.file_name").alias("_file"))
+    counted = text.groupBy("_file", *names).agg(F.count("*").alias("_copies"))
     digest = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
-    text = reader.format(fmt).load(path).select(
-        *names, F.col("_metadata.file_name").alias("_file"), digest.alias("_digest")
-    )
-    copies = Window.partitionBy("_file", "_digest").orderBy("_digest")
-    keyed = text.withColumn(
-        "row_key", F.concat_ws(":", "_file", "_digest", F.row_number().over(copies).cast("string"))
-    ).drop("_file", "_digest")
+    run = F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / copies)))
+    dealt = counted.withColumn("_digest", digest).withColumn("_run", run).repartition("_file", "_digest", "_run")
+    last = F.least("_copies", (F.col("_run") + 1) * copies)
+    number = F.explode(F.sequence(F.col("_run") * copies + 1, last))
+    keyed = dealt.withColumn("_number", number).withColumn(
+        "row_key", F.concat_ws(":", "_file", "_digest", F.col("_number").cast("string"))
+    ).select(*names, "row_key")
     bad = {
         f"{c.name}_type": F.col(c.name).isNotNull() & F.col(c.name).try_cast(c.type).isNull()
         for c in table.columns

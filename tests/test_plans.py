@@ -163,3 +163,46 @@ def test_missing_teacher_still_counts_in_totals(stored):
     assert got.count() == 63
     all_weights = su.teacher_summary(stored).select("total_reverse_weight").distinct().count()
     assert got.select("total_reverse_weight").distinct().count() == all_weights
+
+
+def test_a_batch_of_changes_is_read_once(spark, no_broadcast, tmp_path):
+    """However many parts of the plan read it: the exchange behind it is filled once."""
+    from pyspark.sql import functions as F
+
+    from meritpool.plans import changes as ch
+    from meritpool.sources.starschema import StarSchema
+
+    star = StarSchema(spark, SMALL)
+    star.changes.write.parquet(str(tmp_path / "changes"))
+    batch = ch.ChangeBatch(
+        spark.read.schema(star.changes.schema).parquet(str(tmp_path / "changes")), star.results, star.students,
+        star.criteria, star.enrollments, star.periods, "1998",
+        with_ids=lambda rows: rows.withColumn("id", F.concat(F.lit("new-"), "change_id")),
+    )
+    for output, most in ((batch.results_after, 5), (batch.log, 5), (batch.rejected, 2)):
+        read = scanned(spark, output)
+        assert read("changes") == star.changes.count()
+        assert read("lineitem.parquet") <= most * star.read("lineitem").count()
+
+
+def scanned(spark, df):
+    """Rows that the scans of a folder have given out in one run of ``df``."""
+    df.write.format("noop").mode("overwrite").save()
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last()
+    metrics = store.executionMetrics(last.executionId())
+    graph = store.planGraph(last.executionId()).allNodes()
+
+    def of(folder):
+        total = 0
+        for i in range(graph.size()):
+            node = graph.apply(i)
+            if node.name().startswith("Scan") and folder in node.desc():
+                found = node.metrics()
+                for k in range(found.size()):
+                    metric = found.apply(k)
+                    if metric.name() == "number of output rows" and metrics.contains(metric.accumulatorId()):
+                        total += int(metrics.apply(metric.accumulatorId()).replace(",", ""))
+        return total
+
+    return of

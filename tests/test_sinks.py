@@ -9,6 +9,7 @@ from meritpool.plans import snapshot as sn
 from meritpool.plans import summary as su
 from meritpool.sources import tables as tb
 from meritpool.sources import writers as wr
+from meritpool.sources.commits import Store, Transaction
 from tests.conftest import rows
 
 SCHEMA = schemas.GROUPS.struct
@@ -101,17 +102,29 @@ def test_landing_rows_have_their_own_key(spark, tmp_path):
     assert again == keys
 
 
-def test_rebuild_of_a_period(spark, star, tmp_path):
-    """Stored rows of the year are replaced, its items go, others stay."""
-    calculations, items = str(tmp_path / "calc"), str(tmp_path / "items")
+CALCULATIONS, ITEMS = schemas.CALCULATIONS.name, schemas.ITEMS.name
+
+
+@pytest.fixture()
+def stored_periods(spark, star, tmp_path):
+    """A store with an older snapshot and its items."""
+    store = Store(spark, str(tmp_path / "store"))
     years = [r.id for r in star.periods.collect()]
-    old = star.calculations.drop("id")
-    wr.replace_periods(old, calculations, years)
-    wr.replace_periods(star.items, items, years)
-    log = sn.rebuild_period(star, 1997, calculations, items)
+    change = store.begin()
+    change.replace_slices(CALCULATIONS, star.calculations.drop("id"), "academic_period_id", years)
+    change.replace_slices(ITEMS, star.items, "academic_period_id", years)
+    change.commit()
+    return store
+
+
+def test_rebuild_of_a_period(star, stored_periods):
+    """Stored rows of the year are replaced, its items go, others stay, in one commit."""
+    old, store = star.calculations.drop("id"), stored_periods
+    log = sn.rebuild_period(star, 1997, store)
+    assert store.version() == 2
 
     def stored():
-        return wr.read_periods(spark, calculations, old.schema)
+        return store.read(CALCULATIONS, old.schema)
 
     expected = su.teacher_summary(star, periods=[1997])
     n = stored().where("academic_period_id = 1997").count()
@@ -120,22 +133,39 @@ def test_rebuild_of_a_period(spark, star, tmp_path):
     assert row.entity_id == "1997" and f'"inserted":{n}' in row.details
     others = "academic_period_id <> 1997"
     assert stored().where(others).count() == old.where(others).count()
-    left = wr.read_periods(spark, items, star.items.schema)
+    left = store.read(ITEMS, star.items.schema)
     assert left.where("academic_period_id = 1997").count() == 0 and left.count() > 0
-    sn.rebuild_period(star, 2030, calculations)
+    assert store.read(ITEMS, star.items.schema, version=1).count() == star.items.count()
+    sn.rebuild_period(star, 2030, store)
     assert stored().where("academic_period_id = 2030").count() == 0
 
 
-def test_a_failed_rebuild_leaves_calculations_and_items(spark, star, tmp_path):
-    calculations, items = str(tmp_path / "calc"), str(tmp_path / "items")
-    wr.replace_periods(star.calculations.drop("id"), calculations, [1997])
-    wr.replace_periods(star.items, items, [1997])
-    before = [dict(wr.period_folders(spark, p)) for p in (calculations, items)]
+def test_a_failed_rebuild_leaves_calculations_and_items(star, stored_periods):
+    store = stored_periods
+    before = store.tables()
     stop = F.raise_error(F.lit("stop")).cast("decimal(12,4)")
     broken = replace(tables_of(star), results=star.results.withColumn("total_score", stop))
     with pytest.raises(Exception, match="stop"):
-        sn.rebuild_period(broken, 1997, calculations, items)
-    assert [dict(wr.period_folders(spark, p)) for p in (calculations, items)] == before
+        sn.rebuild_period(broken, 1997, store)
+    assert store.version() == 1 and store.tables() == before
+
+
+def test_a_rebuild_that_fails_between_its_tables_shows_neither(star, stored_periods, monkeypatch):
+    store = stored_periods
+    plain = Transaction.replace_slices
+
+    def failing(self, name, df, by, values):
+        if name == ITEMS:
+            raise RuntimeError("lost")
+        plain(self, name, df, by, values)
+
+    monkeypatch.setattr(Transaction, "replace_slices", failing)
+    before = store.read(CALCULATIONS, star.calculations.drop("id").schema).where("academic_period_id = 1997")
+    expected = rows(before)
+    with pytest.raises(RuntimeError, match="lost"):
+        sn.rebuild_period(star, 1997, store)
+    assert rows(store.read(CALCULATIONS, before.schema).where("academic_period_id = 1997")) == expected
+    assert store.read(ITEMS, star.items.schema).count() == star.items.count()
 
 
 def tables_of(star):
