@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meritpool.llm.words import mix
 
 #: Bits of a character class: 0 is anything but a letter, 1 a letter outside the alphabet.
-BITS = 7
+BITS = 10
 CLASSES = 1 << BITS
+#: Letters of each language, the most frequent ones, that have a class of their own. The letters
+#: of some hundred languages fit; if they do not, those that come first by rank in a language do.
+LETTERS = 64
 #: Characters that are read together.
 BLOCK = 1 << 20
 #: Part of the learning documents, in tenths, that calibrates and is not counted.
@@ -73,25 +76,54 @@ def _blocks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[str
         row = end
 
 
-def alphabet(docs: DataFrame) -> np.ndarray:
-    """The class of each code point: the most frequent letters of all ``docs`` get their own."""
+def _sums(keys: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of some arrays and how often each comes."""
+    held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for key in keys:
+        new, n = np.unique(key, return_counts=True)
+        held, where = np.unique(np.concatenate((held, new)), return_inverse=True)
+        times = np.bincount(where, np.concatenate((times, n)), len(held)).astype(np.int64)
+    return held, times
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
+
+def _counted(docs: DataFrame, names: list[str], keys: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
+    """(key, n) of the keys of (lang, text), each with the number of its language above ``bits`` bits.
+
+    Each task adds up its rows first.
+    """
+    number = {n: i for i, n in enumerate(names)}
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            for _, _, texts in _blocks(batch, 0):
-                n = np.bincount(points(texts)[0])
-                total[: len(n)] += n
-        total[~letters()] = 0
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["c", "n"])
+            langs = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+            for row, end, texts in _blocks(batch, 1):
+                key, cut = keys(texts)
+                yield key | (np.repeat(langs[row:end], np.diff(cut)) << bits)
 
-    rows = (
-        docs.select("text").mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "c").limit(CLASSES - 2).collect()
-    )
-    classes = letters().astype(np.uint8)
-    for i, row in enumerate(rows):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, times = _sums(of(batches))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], ["key", "n"])
+
+    return docs.select("lang", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def alphabet(docs: DataFrame, names: list[str]) -> np.ndarray:
+    """The class of each code point: the most frequent letters of each language get their own.
+
+    Letters are chosen by language, so that one with few documents has its own too. What
+    comes to the driver is LETTERS rows for a language.
+    """
+
+    def of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        chars, bounds = points(texts)
+        kept = letters()[chars]
+        return chars[kept].astype(np.int64), np.concatenate(([0], np.cumsum(kept)))[bounds]
+
+    counted = _counted(docs, names, of, 21).select((F.col("key") % (1 << 21)).alias("c"), F.shiftright("key", 21).alias("lang"), "n")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "c"))
+    rows = counted.withColumn("rank", rank).where(F.col("rank") <= LETTERS).groupBy("c").agg(F.min("rank").alias("rank")).collect()
+    classes = letters().astype(np.uint16)
+    for i, row in enumerate(sorted(rows, key=lambda r: (r["rank"], r.c))[: CLASSES - 2]):
         classes[row.c] = i + 2
     return classes
 
@@ -99,24 +131,14 @@ def alphabet(docs: DataFrame) -> np.ndarray:
 def count(docs: DataFrame, names: list[str], classes: np.ndarray) -> np.ndarray:
     """(language, key, n) of the grams of (lang, text), counted over all rows.
 
-    Each task adds up its rows first. What the driver gets is bounded by the
-    number of possible keys, CLASSES to the third for a language.
+    What the driver gets is the different grams of each language: some ten thousand where it
+    is written in an alphabet, as only LETTERS of its letters have classes of their own.
     """
-    number = {n: i for i, n in enumerate(names)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            langs = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
-            for row, end, texts in _blocks(batch, 1):
-                key, cut = grams(texts, classes)
-                key = key | (np.repeat(langs[row:end], np.diff(cut)) << (3 * BITS))
-                new, n = np.unique(key, return_counts=True)
-                both, where = np.unique(np.concatenate((keys, new)), return_inverse=True)
-                keys, times = both, np.bincount(where, np.concatenate((times, n)), len(both)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], ["key", "n"])
-
-    rows = docs.select("lang", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    def of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return grams(texts, classes)
+
+    rows = _counted(docs, names, of, 3 * BITS).toArrow()
     return np.stack((rows["key"].to_numpy(), rows["n"].to_numpy()), axis=1)
 
 
@@ -204,6 +226,8 @@ class Identifier:
         for i, model in enumerate(self.models):
             sums = np.concatenate(([0.0], np.cumsum(model.log_p(kinds)[where])))
             out[:, i] = -(sums[cut[1:]] - sums[cut[:-1]]) / np.maximum(1, size)
+        if not np.isfinite(out).all():
+            raise ValueError("a language model gives a character no probability")
         return out, size > 0
 
     def shares(self, entropy: np.ndarray, sharpness: float) -> np.ndarray:
@@ -213,25 +237,35 @@ class Identifier:
 
 
 def fit(docs: DataFrame) -> Identifier | None:
-    """Models for every non-null lang of ``docs`` (doc_id, lang, text); None without any.
+    """Models for the non-null langs of ``docs`` (doc_id, lang, text) whose texts have a letter; None
+    without any.
 
     Counts cover all documents but a tenth of them, chosen by hash of the id, which
-    sets the sharpness of the scores and the limits of rejection.
+    sets the sharpness of the scores and the limits of rejection. A language that has
+    letters in that tenth only is counted there, and is not calibrated: it rejects nothing.
     """
     docs = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     names = sorted(r.lang for r in docs.select("lang").distinct().collect())
     if not names:
         return None
     tenth = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(10))
-    classes = alphabet(docs)
+    classes = alphabet(docs, names)
     rows = count(docs.where(tenth >= HELD_TENTHS), names, classes)
-    models = []
-    for i in range(len(names)):
+    small = sorted(set(range(len(names))) - set((rows[:, 0] >> (3 * BITS)).tolist()))
+    if small:
+        rare = docs.where(F.col("lang").isin([names[i] for i in small]))
+        rows = np.concatenate((rows, count(rare, names, classes)))
+    models: dict[str, KneserNey] = {}
+    for i, name in enumerate(names):
         own = rows[rows[:, 0] >> (3 * BITS) == i]
-        own = own[np.argsort(own[:, 0])]
-        models.append(KneserNey(own[:, 0] & ((1 << 3 * BITS) - 1), own[:, 1]))
-    model = Identifier(names, classes, models)
-    return _calibrated(model, docs.where(tenth < HELD_TENTHS))
+        if len(own):
+            own = own[np.argsort(own[:, 0])]
+            models[name] = KneserNey(own[:, 0] & ((1 << 3 * BITS) - 1), own[:, 1])
+    if not models:
+        return None
+    model = Identifier(list(models), classes, list(models.values()))
+    calibrating = [name for name in models if names.index(name) not in small]
+    return _calibrated(model, docs.where((tenth < HELD_TENTHS) & F.col("lang").isin(calibrating)))
 
 
 def _calibrated(model: Identifier, docs: DataFrame) -> Identifier:

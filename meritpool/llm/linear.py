@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritpool.llm.frames import landed
+from meritpool.llm.frames import landed, text_key
 
 SHARDS = 6
 ROUNDS = 3
@@ -43,11 +43,12 @@ class Linear:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(part, label, text) of at most ``sample`` labelled documents.
+    """(part, label, text) of at most ``sample`` labelled documents, one for an id.
 
     The labelled ids with the smallest hashes are chosen, so the choice does not
-    depend on the order of rows; only this bounded list of ids is broadcast. part
-    is 0 to 9 by another hash of the id.
+    depend on the order of rows; only this bounded list of ids is broadcast. Of the
+    texts of a repeated id the one with the smallest hash is taken, in the map tasks first.
+    part is 0 to 9 by another hash of the id.
     """
     ids = (
         labels.where("doc_id is not null")
@@ -57,7 +58,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         .limit(sample)
     )
     part = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(10)).cast("int").alias("part")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(part, "label", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct(text_key().alias("key"), "text")).alias("row"))
+    return one.select(part, "label", "row.text")
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:

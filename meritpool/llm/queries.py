@@ -136,6 +136,34 @@ WITH raw AS (
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
        md5(kept) AS kept_md5
 FROM documents AS d LEFT JOIN cut USING (doc_id)
+""",
+    "op9_suffix_dedup": r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), windows AS (
+    SELECT row, i, md5(b[i + 1 : i + 400]) AS h FROM texts, unnest(range(0, octet_length(b) - 399)) AS u(i)
+), twice AS (
+    SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1
+), islands AS (
+    SELECT row, i, sum(fresh) OVER (PARTITION BY row ORDER BY i) AS island
+    FROM (SELECT row, i, CASE WHEN i - lag(i) OVER (PARTITION BY row ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM twice) AS t
+), spans AS (
+    SELECT row, min(i) AS low, max(i) + 400 AS high FROM islands GROUP BY row, island
+), kept AS (
+    SELECT t.row, t.doc_id, t.b, list(s.low ORDER BY s.low) FILTER (s.low IS NOT NULL) AS lows,
+           list(s.high ORDER BY s.low) FILTER (s.low IS NOT NULL) AS highs
+    FROM texts AS t LEFT JOIN spans AS s ON s.row = t.row GROUP BY t.row, t.doc_id, t.b
+), cut AS (
+    SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(len(lows), 0)::BIGINT AS n_spans,
+           CASE WHEN lows IS NULL THEN b ELSE list_reduce(list_transform(range(0, len(lows) + 1), lambda k:
+               b[(CASE WHEN k = 0 THEN 0 ELSE highs[k] END) + 1 : (CASE WHEN k = len(lows) THEN octet_length(b) ELSE lows[k + 1] END)]),
+               lambda x, y: x || y) END AS left_over
+    FROM kept
+)
+SELECT doc_id, n_bytes, n_bytes - octet_length(left_over) AS n_removed, n_spans, sha256(left_over) AS kept_sha256,
+       n_bytes > octet_length(left_over) AS repeated,
+       (n_bytes - octet_length(left_over)) / greatest(1, n_bytes)::DOUBLE AS removed_share
+FROM cut
 """,
     "op11_chat_formatting": r"""
 WITH turns AS (

@@ -220,7 +220,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "key", "start", "windows", "place"))
         )
     )
-    copied = kinds.where("n > 1").select("gram", "content").hint("rebalance")
+    # a sort merge join also where the kinds are few: Spark splits the copies of one run in no other
+    copied = kinds.where("n > 1").select("gram", "content").hint("rebalance").hint("merge")
     copies = differ.join(copied, ["gram", "content"], "left_semi").select("doc_id", "key", F.col("start").alias("low"), end.alias("high"))
     large = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).select("gram", (F.col("kinds") > group).alias("large"))
     wanted = (
@@ -242,13 +243,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) for each row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, removed_share and kept (bytes)
+    for each row of ``docs``.
 
     Removed is each UTF-8 byte under a string of ``length`` bytes that also starts
     elsewhere, in the same document or another, judged on the input. Null is an
     empty text. Rows that repeat a doc_id and a text are copies of each other, so their
     long strings go. Null doc_ids are treated like others. kept may end inside a
-    character. Other columns are not read. An empty table gives no rows.
+    character. repeated says that bytes went, removed_share which part of them (0 of an empty text). Other columns are not read. An empty table gives no rows.
     """
     if length < 2 * gram:
         raise ValueError("length must be at least twice the gram")
@@ -277,16 +279,19 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
                     kept.append(text[at:a])
                     at = b
                 left = b"".join([*kept, text[at:]])
-                rows.append((len(text), len(text) - len(left), len(spans_here), hashlib.sha256(left).hexdigest(), left))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                gone = len(text) - len(left)
+                share = gone / max(1, len(text))
+                rows.append((len(text), gone, len(spans_here), hashlib.sha256(left).hexdigest(), gone > 0, share, left))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.float64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated", "removed_share", "kept"],
             )
 
     return joined.select("doc_id", "text", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, "
+        "removed_share double, kept binary"
     )
 
 

@@ -32,6 +32,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert n > 50 and share > 0.9
 
 
+def test_a_sample_is_bounded_in_rows(spark):
+    rows = [(i % 20, f"text {i}") for i in range(1000)] + [(3, None), (None, "x"), (4, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 2, "doc_id long, label int")
+    got = linear.labelled(docs_frame(spark, rows, extra=True), labels, 10).collect()
+    assert len(got) == 10
+    again = linear.labelled(docs_frame(spark, rows[::-1]), labels, 10).collect()
+    assert sorted(got, key=str) == sorted(again, key=str)
+
+
 def test_non_negative_risk_slope():
     rng = np.random.default_rng(0)
     z, y = rng.normal(size=40), (np.arange(40) < 15).astype(float)

@@ -37,27 +37,36 @@ def plain_model(grams):
     return p
 
 
+def joined(a, b, c):
+    return (a << 2 * language.BITS) | (b << language.BITS) | c
+
+
+def parted(key):
+    last = language.CLASSES - 1
+    return key >> 2 * language.BITS, key >> language.BITS & last, key & last
+
+
 def test_model_against_its_definition():
     rng = np.random.default_rng(3)
     letters = rng.integers(0, 12, size=3000)
     grams = Counter(zip(letters, letters[1:], letters[2:], strict=False))
-    keys = np.array(sorted(int(a) << 14 | int(b) << 7 | int(c) for a, b, c in grams))
-    n = np.array([grams[k >> 14, k >> 7 & 127, k & 127] for k in keys])
+    keys = np.array(sorted(joined(*map(int, gram)) for gram in grams))
+    n = np.array([grams[parted(k)] for k in keys])
     model, p = language.KneserNey(keys, n), plain_model(grams)
     asked = rng.integers(0, 14, size=(500, 3))
-    got = model.log_p((asked[:, 0] << 14) | (asked[:, 1] << 7) | asked[:, 2])
+    got = model.log_p(joined(*asked.T))
     assert np.allclose(got, [math.log(p(*row)) for row in asked], atol=1e-4)
     for context in ((1, 2), (13, 3), (13, 13)):
         assert abs(sum(p(*context, c) for c in range(language.CLASSES)) - 1) < 1e-9
 
 
 def test_grams_do_not_cross_words_or_texts():
-    classes = language.letters().astype(np.uint8)
+    classes = language.letters().astype(np.uint16)
     for c, i in (("a", 2), ("b", 3)):
         classes[ord(c)] = i
     keys, cut = language.grams(["Ab 1 b", "", "..", "a"], classes)
     first = [(0, 0, 2), (0, 2, 3), (2, 3, 0), (0, 0, 3), (0, 3, 0)]
-    assert [(int(k) >> 14, int(k) >> 7 & 127, int(k) & 127) for k in keys[: cut[1]]] == first
+    assert [parted(int(k)) for k in keys[: cut[1]]] == first
     assert cut.tolist() == [0, 5, 5, 5, 7]
 
 
@@ -80,6 +89,32 @@ def test_identifies_and_rejects(spark):
     assert np.mean([out[i][0].rejected for i in held]) < 0.1
 
 
+LEARN = "doc_id long, text string, lang string"
+
+
+def test_a_language_without_letters_is_never_predicted(spark):
+    ship(spark)
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, "en", 20), "en") for i in range(200)]
+    model = language.fit(spark.createDataFrame([*rows, (900, "123 456", "xx"), (901, None, "yy")], LEARN))
+    assert model.names == ["en"]
+    out = language.identify(docs_frame(spark, [(i, t) for i, t, _ in rows]), model).collect()
+    assert {r.lang_pred for r in out} == {"en"} and all(0 <= r.score <= 1 for r in out)
+
+
+def test_small_languages_are_counted_and_keep_their_letters(spark):
+    """One document each, wherever it falls, in scripts the large language does not use."""
+    ship(spark)
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, "en", 20), "en") for i in range(100)]
+    scripts = {"el": "αβγδε ζηθικ λμνξο", "ru": "абвгд еёжзи йклмн", "he": "אבגדה וזחטי כלמנס"}
+    for start in range(4):
+        small = [(1000 + 10 * start + i, text, lang) for i, (lang, text) in enumerate(scripts.items())]
+        model = language.fit(spark.createDataFrame(rows + small, LEARN))
+        out = language.identify(docs_frame(spark, [(i, t) for i, t, _ in small]), model).collect()
+        assert {r.doc_id: r.lang_pred for r in out} == {i: lang for i, _, lang in small}
+
+
 def test_nothing_learned(spark):
     ship(spark)
     docs = docs_frame(spark, ODD)

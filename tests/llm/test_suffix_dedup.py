@@ -44,8 +44,10 @@ def rows():
 def test_against_all_strings(spark, rows, group):
     ship(spark)
     found = suffix_dedup.cut_repeats(docs_frame(spark, rows, extra=True), 40, 12, group)
-    got = sorted((tuple(r) for r in found.drop("kept").collect()), key=str)
+    got = sorted((tuple(r) for r in found.drop("kept", "repeated", "removed_share").collect()), key=str)
     assert got == plain(rows, 40)
+    for r in found.collect():
+        assert r.repeated == (r.n_removed > 0) and r.removed_share == r.n_removed / max(1, r.n_bytes)
 
 
 def test_long_texts_are_looked_at_in_parts(spark, rows, monkeypatch):
