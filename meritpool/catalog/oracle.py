@@ -458,6 +458,12 @@ ask(
     "AND grade_track = 'course' AND grade_at_result = 8",
     "listed",
 )
+ORACLE["results_search_indexed"] = ORACLE["results_search"]
+ask(
+    "results_search_letters",
+    f"SELECT {LISTED} FROM listed WHERE contains(lower(student_name), 'ring') OR contains(lower(criterion_name), 'ring')",
+    "listed",
+)
 ask(
     "results_shown",
     "SELECT count(*) FILTER ((contains(lower(student_name), 'ring') OR "

@@ -14,6 +14,7 @@ from meritpool.operators import quality
 from meritpool.operators.deletes import deletion
 from meritpool.operators.inserts import id_summary
 from meritpool.operators.merge import upsert
+from meritpool.operators.search import name_index
 from meritpool.plans import changes as ch
 from meritpool.plans import imports as im
 from meritpool.plans import incremental as inc
@@ -171,6 +172,23 @@ def results_search(s):
     return rp.search_results(s, query="1", track="course", grade=8)
 
 
+def _indexed_search(s, query, **rest):
+    return rp.search_by_index(
+        s, name_index(s.students, "full_name"), name_index(s.criteria, "name"), query, **rest
+    )
+
+
+@query
+def results_search_indexed(s):
+    """A short text, by the index of letters."""
+    return _indexed_search(s, "1", track="course", grade=8)
+
+
+@query
+def results_search_letters(s):
+    return _indexed_search(s, " Ring ")
+
+
 @query
 def results_shown(s):
     """Over the whole list."""

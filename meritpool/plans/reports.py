@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from meritpool.functions.text import contains_text, number_text, text_or_dash, yes_no
 from meritpool.operators.ranking import latest_by, top_by
+from meritpool.operators.search import holding
 from meritpool.plans.summary import PERIOD, teacher_allocation
 from meritpool.sources.tables import Tables, inline_rows
 
@@ -102,6 +103,11 @@ def result_filter(
     matches = contains_text(F.col("student_name"), query) | contains_text(
         F.col("criterion_name"), query
     )
+    return matches & _placed(track, grade)
+
+
+def _placed(track: str | None, grade: str | int | None) -> Column:
+    matches = F.lit(True)
     if track:
         matches = matches & (F.col("grade_track") == track)
     if grade not in (None, ""):
@@ -118,6 +124,28 @@ def search_results(
     return listed.where(result_filter(query, track, grade))
 
 
+def search_by_index(
+    tables: Tables, student_index: DataFrame, criterion_index: DataFrame, query: str | None,
+    track: str | None = None, grade: str | int | None = None,
+) -> DataFrame:
+    """``search_results`` over all results by the indexes of the names.
+
+    The names that hold the text are found first; results are read against their ids, which
+    Spark broadcasts if they are few, and names are joined to the rows that are left.
+    """
+    if not (query or "").strip():
+        return search_results(tables, query, track, grade)
+    students = holding(tables.students, student_index, query, "full_name")
+    criteria = holding(tables.criteria, criterion_index, query, "name")
+    rows = tables.results
+    for column, found in (("student_id", students), ("criterion_id", criteria)):
+        ids = found.select(F.col("id").alias(column), F.lit(True).alias(f"_{column}"))
+        rows = rows.join(ids, column, "left")
+    rows = rows.where(F.col("_student_id").isNotNull() | F.col("_criterion_id").isNotNull())
+    named = with_names(rows.where(_placed(track, grade)), tables.students, tables.criteria)
+    return named.select(*RESULT_COLUMNS)
+
+
 def shown_of(df: DataFrame, matches: Column) -> DataFrame:
     """How many rows a filter leaves, and of how many."""
     return df.agg(F.count_if(matches).alias("shown"), F.count("*").alias("total"))
