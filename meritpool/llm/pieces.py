@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -459,6 +460,28 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     return text[1:] if vocabulary.prefix and text.startswith(" ") else text
 
 
+def spelling(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that each id stands for, end to end, and their bounds."""
+    spelled = []
+    for piece, kind in zip(vocabulary.pieces, vocabulary.kinds, strict=True):
+        if kind == BYTE:
+            spelled.append(bytes([int(piece[3:5], 16)]))
+        elif kind == UNKNOWN:
+            spelled.append(" ⁇ ".encode())
+        else:
+            spelled.append(b"" if kind == CONTROL else piece.replace(SPACE, " ").encode("utf-8", "surrogatepass"))
+    return np.frombuffer(b"".join(spelled), np.uint8), np.cumsum([0, *map(len, spelled)])
+
+
+def decode_many(vocabulary: Vocabulary, spelled: tuple[np.ndarray, np.ndarray], flat: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+    """The texts, in UTF-8, of the ids between bounds[i] and bounds[i + 1], all looked up together."""
+    data, ends = _gather(*spelled, flat)
+    ends = ends[bounds]
+    for low, high in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        text = data[low:high].tobytes()
+        yield text[1:] if vocabulary.prefix and text.startswith(b" ") else text
+
+
 _built: dict[Vocabulary, Automaton] = {}
 
 
@@ -470,8 +493,11 @@ def automaton(vocabulary: Vocabulary) -> Automaton:
     return _built[vocabulary]
 
 
-def encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, block: int = 1 << 22) -> DataFrame:
-    """doc_id, ids, n_ids, n_bytes_ids and round_trip for each row of ``docs``.
+def encode(
+    spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, block: int = 1 << 22, decoded: bool = False
+) -> DataFrame:
+    """doc_id, ids, n_ids, n_byte_ids and round_trip for each row of ``docs``; with ``decoded`` the
+    ids are decoded too, into decoded_bytes (how many) and decoded_md5.
 
     ids segment the whole text; round_trip says whether decoding them gives the
     normalised text again. Null and empty texts have no ids and round_trip true.
@@ -480,8 +506,10 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, block:
     as large as its file; each worker builds one automaton.
     """
     shared = spark.sparkContext.broadcast(vocabulary)
+    names = ["doc_id", "ids", "n_ids", "n_byte_ids", "round_trip"] + ["decoded_bytes", "decoded_md5"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled = spelling(shared.value) if decoded else None
         machine, kinds = automaton(shared.value), np.array(shared.value.kinds)
         for batch in batches:
             size = pc.binary_length(batch.column(1)).fill_null(0).to_numpy()
@@ -492,19 +520,25 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, block:
                 ids, same = machine.encode(batch.column(1).slice(row, end - row))
                 bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
                 byte = np.concatenate(([0], np.cumsum(kinds[flat] == BYTE)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), ids, pa.array(np.diff(bounds)), pa.array((byte[bounds[1:]] - byte[bounds[:-1]]).astype(np.int32)), pa.array(same)],
-                    ["doc_id", "ids", "n_ids", "n_byte_ids", "round_trip"],
-                )
+                columns = [
+                    batch.column(0).slice(row, end - row), ids, pa.array(np.diff(bounds)),
+                    pa.array((byte[bounds[1:]] - byte[bounds[:-1]]).astype(np.int32)), pa.array(same),
+                ]
+                if spelled:
+                    texts = list(decode_many(shared.value, spelled, flat, bounds))
+                    columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array([md5(t).hexdigest() for t in texts])]
+                yield pa.RecordBatch.from_arrays(columns, names)
                 row = end
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, ids array<int>, n_ids int, n_byte_ids int, round_trip boolean"
+        run,
+        "doc_id long, ids array<int>, n_ids int, n_byte_ids int, round_trip boolean"
+        + ", decoded_bytes long, decoded_md5 string" * decoded,
     )
 
 
 def decode_rows(spark: SparkSession, rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id and text of (doc_id, ids); null ids give null."""
+    """doc_id and text of (doc_id, ids); null ids give null, an empty table gives no rows."""
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

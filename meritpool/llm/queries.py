@@ -32,7 +32,7 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.encode(spark, table(spark, folder, "documents"), pieces.read_model(PIECES))
+    return pieces.encode(spark, table(spark, folder, "documents"), pieces.read_model(PIECES), decoded=True)
 
 
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:

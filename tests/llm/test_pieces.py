@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from hashlib import md5
 
 import pyarrow as pa
 import pytest
@@ -88,3 +89,20 @@ def test_edge_rows_and_decoding(spark):
     back = sorted((tuple(r) for r in pieces.decode_rows(spark, out, vocabulary).collect()), key=str)
     assert back == sorted(((d, t or "") for d, t in rows), key=str)
     assert pieces.encode(spark, docs_frame(spark, []), vocabulary).collect() == []
+
+
+def test_ids_are_decoded_to_the_text_they_came_from(spark):
+    ship(spark)
+    some = [*texts(), "<unk> </s>", "\u0000", "a\u200bb"]
+    rows = [*enumerate(some), (None, None), (-1, None), (7, some[7])]
+    vocabulary = pieces.read_model(PIECES)
+    out = pieces.encode(spark, docs_frame(spark, rows, extra=True), vocabulary, decoded=True).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert len(out) == len(rows)
+    for r in out:
+        text = library.decode(list(r.ids)).encode()
+        assert (r.decoded_bytes, r.decoded_md5) == (len(text), md5(text).hexdigest())
+        if r.doc_id is not None and r.doc_id >= 0:
+            assert text.decode() == some[r.doc_id]
+    plain = pieces.encode(spark, docs_frame(spark, []), vocabulary, decoded=True)
+    assert plain.collect() == [] and pieces.decode_rows(spark, plain, vocabulary).collect() == []
