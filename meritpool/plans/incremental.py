@@ -60,7 +60,7 @@ def score_changes(batch: ChangeBatch) -> DataFrame:
 
     Of the results only those are read that the batch edits.
     """
-    edits = batch.effects.where("result_id IS NOT NULL").select(F.col("result_id").alias("id"))
+    edits = batch.edited.select(F.col("result_id").alias("id"))
     old = named_by(batch.results, edits, ["id"])
     new = batch.effects.where("op IS NOT NULL AND NOT deleted")
     return _by_match(_scores(old, -1).unionByName(_scores(new)))
