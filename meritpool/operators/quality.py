@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritpool.operators.deletes import deletion
+from meritpool.operators.joins import spread_join
 from meritpool.schemas import ENUMS, Table
 
 
@@ -147,7 +148,8 @@ def reference_violations(
 
     All references are looked at in one pass: the distinct keys that the rows
     name are held against the parents, and only missing keys, few as a rule,
-    are joined back to the rows. References whose parent or column is not given
+    are joined back to the rows, salted, as a reference to a table of few rows has nothing but
+    hot keys. References whose parent or column is not given
     are left out; ``unchecked_references`` names them.
     """
     refs = [r for r in table.references if r.table in parents and r.column in df.columns]
@@ -169,7 +171,7 @@ def reference_violations(
         )
         known = ids if known is None else known.unionByName(ids)
     missing = named.select("rule", "named").distinct().join(known, ["rule", "named"], "left_anti")
-    return named.join(missing.hint("rebalance"), ["rule", "named"], "left_semi").select(
+    return spread_join(named, missing, ["rule", "named"], "left_semi", ["row_key"]).select(
         F.lit(table.name).alias("table_name"), "rule", "row_key"
     )
 
