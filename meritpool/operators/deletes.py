@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meritpool import schemas
-from meritpool.operators.joins import apart
+from meritpool.operators.joins import FANOUT, apart
 
 
 def parents_first(names: Iterable[str]) -> list[str]:
@@ -31,6 +31,19 @@ def parents_first(names: Iterable[str]) -> list[str]:
     return order
 
 
+#: So many ids of a batch, or fewer, may each be named by a large part of a table.
+FEW = 10_000
+
+
+def _salted(rows: DataFrame, keys: DataFrame, batch: DataFrame, table: schemas.Table) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``: few keys are repeated FANOUT times, and the rows that name one are
+    dealt out over so many tasks; of more keys, counted in their ``batch``, each stays one row."""
+    fanout = F.when(batch.agg(F.count("*")).scalar() <= FEW, F.lit(FANOUT)).otherwise(F.lit(1))
+    by = ["id"] if "id" in rows.columns else [r.column for r in table.references if r.column in rows.columns]
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), fanout), F.lit(0)).cast("int")
+    return rows.withColumn("_salt", salt), keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), fanout - 1)))
+
+
 @dataclass(frozen=True)
 class Deletion:
     """What a batch of deletes comes to; each frame is lazy.
@@ -65,27 +78,37 @@ def deletion(tables: Mapping[str, DataFrame], deleted: Mapping[str, DataFrame])
     """
     keys = {name: apart(ids.select("id").distinct()) for name, ids in deleted.items()}
     gone: dict[str, DataFrame] = {name: ids for name, ids in keys.items() if name not in tables}
+    given = {name: deleted[name] for name in gone}
     after: dict[str, DataFrame] = {}
     for name in parents_first(tables):
         table, rows = schemas.ALL[name], tables[name]
         columns, marks = rows.columns, []
 
-        def marked(rows: DataFrame, keys: DataFrame, column: str, marks: list[str] = marks) -> DataFrame:
+        def marked(
+            rows: DataFrame, keys: DataFrame, column: str, batch: DataFrame | None = None,
+            marks: list[str] = marks, table: schemas.Table = table,
+        ) -> DataFrame:
             flag = f"_gone_{len(marks)}"
             marks.append(flag)
-            return rows.join(keys.select(F.col("id").alias(column), F.lit(True).alias(flag)), column, "left")
+            keys = keys.select(F.col("id").alias(column), F.lit(True).alias(flag))
+            if batch is None:
+                return rows.join(keys, column, "left")
+            rows, keys = _salted(rows, keys, batch, table)
+            return rows.join(keys, [column, "_salt"], "left").drop("_salt")
 
         if name in deleted:
             rows = marked(rows, keys[name], "id")
         for ref in table.references:
             if ref.table in gone and ref.column in columns and ref.on_delete == "cascade":
-                rows = marked(rows, gone[ref.table], ref.column)
+                rows = marked(rows, gone[ref.table], ref.column, given.get(ref.table))
         goes = F.lit(False)
         for flag in marks:
             goes = goes | F.col(flag).isNotNull()
         left = rows.where(~goes)
         if marks and "id" in columns:
             gone[name] = rows.where(goes).select("id")
+            if name in deleted and len(marks) == 1:
+                given[name] = deleted[name]  # no other keys go
         for ref in table.references:
             if ref.table in gone and ref.column in columns and ref.on_delete == "set_null":
                 emptied = gone[ref.table].select(F.col("id").alias(ref.column), F.lit(True).alias("_emptied"))
