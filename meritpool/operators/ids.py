@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meritpool.operators.joins import once_by
+
 BUCKETS = 4096
 
 
@@ -18,7 +20,9 @@ def assign_ids(df: DataFrame, key: Sequence[str], start: Column, buckets: int =
     ``buckets`` rows at most, the only frame that is broadcast. Ids depend on
     the data alone, so a task that is run again gives the same ids.
     """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    bucket = F.coalesce(F.pmod(F.xxhash64(*key), F.lit(buckets)), F.lit(0)).cast("int")
+    # sizes and rows come from one exchange: what ``df`` is made of is worked out once
+    bucketed = once_by(df.withColumn("_bucket", bucket), "_bucket")
     sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
