@@ -128,6 +128,36 @@ def test_rarity_counts_all_passages(spark):
         assert abs(got[number] - np.log((len(passages) + 2) / (n + 1))) < 1e-9
 
 
+def test_the_space_is_fitted_on_all_passages(spark, monkeypatch):
+    """Its counts are those of all passages of all documents, however the table of counts is cut."""
+    ship(spark)
+    rng = random.Random(3)
+    known = [f"w{i}" for i in range(9)]
+    texts = [" ".join(rng.choices([*known, "other", "more"], k=rng.randint(0, 700))) for _ in range(30)] + [None, ""]
+    vocabulary = dc.Vocabulary(np.sort(next(dc._hashed(pa.array([" ".join(known)])))[2]))
+    want, n = np.zeros((9, 9), np.int64), 0
+    for text in texts:
+        split = (text or "").split()
+        for i in range(0, len(split), 64):
+            number = vocabulary.find(next(dc._hashed(pa.array([" ".join(split[i : i + 64])])))[2])[1]
+            vector = np.bincount(number, minlength=9)
+            want += np.outer(vector, vector)
+            n += vector.any()
+    docs = docs_frame(spark, list(enumerate(texts)))
+    rare = np.arange(9.0, 0.0, -1.0)
+    for cells, hits, frequent in ((dc.TABLE, dc.HITS, 4), (dc.TABLE, dc.HITS, dc.FREQUENT), (12, 50, 0), (12, 50, 3)):
+        monkeypatch.setattr(dc, "TABLE", cells)
+        monkeypatch.setattr(dc, "HITS", hits)
+        monkeypatch.setattr(dc, "FREQUENT", frequent)
+        got = {r.word: np.frombuffer(r.counts, np.int64) for r in dc.shared_counts(docs, vocabulary, rare).collect()}
+        assert got.pop(-1).tolist() == [n]
+        assert all((got[w] == want[w, w:]).all() for w in range(9))
+    # the coordinates are the leading singular vectors of all passages
+    matrix = dc.landed(dc.shared_counts(docs, vocabulary, rare)).where("word >= 0").selectExpr("word", "counts", "1.0d weight")
+    right = np.random.default_rng(1).normal(size=(9, 4))
+    assert np.allclose(dc._times(matrix, right, rare), (want * np.outer(rare, rare)) @ right, rtol=1e-4)
+
+
 def test_sums_by_step():
     rng = np.random.default_rng(2)
     space = rng.normal(size=(50, 7)).astype(np.float32)
