@@ -149,7 +149,7 @@ def test_the_space_is_fitted_on_all_passages(spark, monkeypatch):
         monkeypatch.setattr(dc, "TABLE", cells)
         monkeypatch.setattr(dc, "HITS", hits)
         monkeypatch.setattr(dc, "FREQUENT", frequent)
-        got = {r.word: np.frombuffer(r.counts, np.int64) for r in dc.shared_counts(docs, vocabulary, rare).collect()}
+        got = {r.word: dc.unpacked(r.counts) for r in dc.shared_counts(docs, vocabulary, rare).collect()}
         assert got.pop(-1).tolist() == [n]
         assert all((got[w] == want[w, w:]).all() for w in range(9))
     # the coordinates are the leading singular vectors of all passages
