@@ -174,3 +174,24 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a few words here")], "item_id long, text string")
     assert dc.leaks(docs_frame(spark, [(1, "a b c")]), none).collect() == []
     assert dc.leaks(docs_frame(spark, []), one).collect() == []
+
+
+def test_pairs_are_made_of_the_different_words_of_a_passage():
+    """A word that fills a passage is one word with a count, not a pair of each two of its places."""
+    index, owner = np.array([2] * 64 + [0, 2, 1, 1]), np.repeat([0, 1], [64, 4])
+    sizes = {len(w): (w.T.tolist(), n.T.tolist(), other.tolist()) for w, n, other in dc._by_size(index, owner, np.arange(3), 1)}
+    assert sizes == {1: ([[2]], [[64]], [0]), 3: ([[0, 1, 2]], [[1, 2, 1]], [2])}
+    total, place = np.zeros(6, np.int32), np.array([0, 2, 3])
+    for some in dc._by_size(index, owner, np.arange(3), 0):
+        dc._add_pairs(total, place, some, 0, 3)
+    assert total.tolist() == [1, 2, 1, 4, 2, 64 * 64 + 1]
+
+
+def test_find_tells_hashes_apart_that_end_alike():
+    rng = np.random.default_rng(5)
+    known = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64) << np.uint64(12))  # 16 endings
+    asked = np.concatenate([known, known + np.uint64(1 << 20), known + np.uint64(1), np.zeros(1, np.uint64), known[::-1]])
+    place, number = dc.Vocabulary(known).find(asked)
+    want = [(i, int(np.flatnonzero(known == h)[0])) for i, h in enumerate(asked) if (known == h).any()]
+    assert list(zip(place.tolist(), number.tolist(), strict=True)) == want
+    assert not len(dc.Vocabulary(known[:0]).find(asked)[0])
