@@ -206,3 +206,57 @@ def scanned(spark, df):
         return total
 
     return of
+
+
+@pytest.fixture
+def whole_paths(spark):
+    """Descriptions of scans that name their folders in full."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def batch_of(spark, tmp_path):
+    """The changes of the small tables, the results and assignments from folders of their own."""
+    from meritpool.plans import changes as ch
+    from meritpool.sources.starschema import StarSchema
+
+    star = StarSchema(spark, SMALL)
+    frames = {}
+    for name in ("changes", "results", "assignments"):
+        df = getattr(star, name)
+        df.write.parquet(str(tmp_path / name))
+        frames[name] = spark.read.schema(df.schema).parquet(str(tmp_path / name))
+    batch = ch.ChangeBatch(
+        frames["changes"], frames["results"], star.students, star.criteria, star.enrollments, star.periods, "1998",
+        with_ids=lambda rows: rows.withColumn("id", F.concat(F.lit("new-"), "change_id")),
+    )
+    return batch, frames
+
+
+def test_enrollments_are_dealt_out_once(spark, no_broadcast, tmp_path):
+    """By their place at once: a batch that is not small does not filter them by student first."""
+    batch, _ = batch_of(spark, tmp_path)
+    text = batch.updated._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", text)
+    assert inputs and not any(re.search(r"\bid#", x) and "student_id#" in x for x in inputs), inputs
+
+
+def test_line_items_travel_once(spark, no_broadcast):
+    """To their orders, for all the frames that a job takes from them."""
+    from meritpool.sources.starschema import StarSchema
+
+    lines = StarSchema(spark, SMALL).read("lineitem").count()
+    for name in ("changes_updated",):
+        assert scanned(spark, QUERIES[name](spark, SMALL))("lineitem.parquet") == lines, name
+
+
+def test_keys_of_one_hash_are_kept_apart(spark):
+    """Texts that meet in one hash are joined by themselves."""
+    from meritpool.plans import changes as ch
+
+    left = spark.createDataFrame([(1, "ra", 1), (1, "rab", 2), (2, "", 3)], "_at int, _by string, n int")
+    right = spark.createDataFrame([(1, "ra", 10), (1, "rb", 20)], "_at int, _by string, m int")
+    got = ch._joined(left, right, "left").select("n", "m").collect()
+    assert sorted((r.n, r.m or 0) for r in got) == [(1, 10), (2, 0), (3, 0)]
+    assert ch._joined(left.drop("_at").where("n < 3"), right.withColumn("_at", F.hash("_by")), "inner").count() == 1
