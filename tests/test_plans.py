@@ -234,6 +234,14 @@ def batch_of(spark, tmp_path):
     return batch, frames
 
 
+def test_results_are_dealt_out_once_for_their_edits(spark, no_broadcast, whole_paths, tmp_path):
+    """One exchange of the whole results judges the edits and takes them over."""
+    batch, frames = batch_of(spark, tmp_path)
+    read = scanned(spark, batch.results_after)
+    assert read(str(tmp_path / "results")) == frames["results"].count()
+    assert read(str(tmp_path / "changes")) == frames["changes"].count()
+
+
 def test_enrollments_are_dealt_out_once(spark, no_broadcast, tmp_path):
     """By their place at once: a batch that is not small does not filter them by student first."""
     batch, _ = batch_of(spark, tmp_path)
@@ -247,7 +255,7 @@ def test_line_items_travel_once(spark, no_broadcast):
     from meritpool.sources.starschema import StarSchema
 
     lines = StarSchema(spark, SMALL).read("lineitem").count()
-    for name in ("changes_updated",):
+    for name in ("changes_updated", "changes_results"):
         assert scanned(spark, QUERIES[name](spark, SMALL))("lineitem.parquet") == lines, name
 
 
