@@ -668,6 +668,7 @@ def changes_log(s):
 @query
 def summary_after_changes(s):
     """The summary after the batch, from stored sums and what the batch adds to them."""
+    s = s.shared
     sums = inc.sums_after(
         inc.student_sums(s.assignments, s.results), s.assignments, inc.score_changes(_batch(s))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meritpool.operators.joins import apart, named_by
+from meritpool.operators.joins import apart
 from meritpool.plans.changes import ChangeBatch
 from meritpool.plans.summary import MATCH, PERIOD, active_scope, allocation_of, teacher_scope
 from meritpool.sources.commits import Store
@@ -26,7 +26,7 @@ SUMS = "student_sums"
 _WEIGHTED = T.DecimalType(30, 6)
 
 
-def _sums(scored: DataFrame) -> DataFrame:
+def _sums(scored: DataFrame, *more: Column) -> DataFrame:
     """Weighted points and results by key of rows with score, share and n."""
 
     def total(value: Column, kind: T.DataType) -> Column:
@@ -35,6 +35,7 @@ def _sums(scored: DataFrame) -> DataFrame:
     return scored.groupBy(*KEY).agg(
         total(F.col("score") * F.col("share_percent"), _WEIGHTED).alias("weighted"),
         total(F.col("n"), T.LongType()).alias("n_scored"),
+        *more,
     )
 
 
@@ -42,6 +43,16 @@ def _by_match(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*MATCH).agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
 
 
+def _scored(assignments: DataFrame, scores: DataFrame) -> DataFrame:
+    """The active scope with the ``scores`` of its matches, null without one. Its rows go to them
+    whole and none is left out, so that a plan with several of these fills one exchange."""
+    row = F.array(F.struct(*KEY, "share_percent")).alias("_row")
+    scope = active_scope(assignments).select(*MATCH, row)
+    found = [c for c in scores.columns if c not in MATCH]
+    rows = scope.join(scores, MATCH, "left").select(*found, F.inline_outer("_row"))
+    return rows.where(F.col(PERIOD).isNotNull() & F.col("teacher_id").isNotNull())  # as in ``active_scope``
+
+
 def _scores(results: DataFrame, sign: int = 1) -> DataFrame:
     return results.select(
         PERIOD, "student_id", F.col("grade_at_result").alias("grade"), "grade_track",
@@ -51,8 +62,7 @@ def _scores(results: DataFrame, sign: int = 1) -> DataFrame:
 
 def student_sums(assignments: DataFrame, results: DataFrame) -> DataFrame:
     """The sums from the base tables: a row for each active period, teacher and student."""
-    scope = active_scope(assignments)
-    return _sums(scope.join(_by_match(_scores(results)), MATCH, "left"))
+    return _sums(_scored(assignments, _by_match(_scores(results))))
 
 
 def score_changes(batch: ChangeBatch) -> DataFrame:
@@ -60,15 +70,14 @@ def score_changes(batch: ChangeBatch) -> DataFrame:
 
     Of the results only those are read that the batch edits.
     """
-    edits = batch.edited.select(F.col("result_id").alias("id"))
-    old = named_by(batch.results, edits, ["id"])
-    new = batch.effects.where("op IS NOT NULL AND NOT deleted")
+    old, new = batch.before_and_after(PERIOD, "student_id", "grade_at_result", "grade_track", "total_score")
     return _by_match(_scores(old, -1).unionByName(_scores(new)))
 
 
 def sums_after(sums: DataFrame, assignments: DataFrame, changes: DataFrame) -> DataFrame:
     """The stored sums with the score changes of a batch."""
-    added = _sums(active_scope(assignments).join(changes, MATCH)).select(
+    scored = _scored(assignments, changes.withColumn("_found", F.lit(1)))
+    added = _sums(scored, F.count("_found").alias("_found")).where("_found > 0").select(
         *KEY, F.col("weighted").alias("_weighted"), F.col("n_scored").alias("_n")
     )
     nothing = F.lit(0)

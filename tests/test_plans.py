@@ -242,6 +242,18 @@ def test_results_are_dealt_out_once_for_their_edits(spark, no_broadcast, whole_p
     assert read(str(tmp_path / "changes")) == frames["changes"].count()
 
 
+def test_sums_are_kept_up_from_one_exchange_of_each_table(spark, no_broadcast, whole_paths, tmp_path):
+    from meritpool.plans import incremental as inc
+
+    batch, frames = batch_of(spark, tmp_path)
+    results, assignments = frames["results"], frames["assignments"]
+    read = scanned(spark, inc.score_changes(batch))
+    assert read(str(tmp_path / "results")) == results.count()
+    read = scanned(spark, inc.sums_after(inc.student_sums(assignments, results), assignments, inc.score_changes(batch)))
+    assert read(str(tmp_path / "assignments")) == assignments.count()
+    assert read(str(tmp_path / "changes")) == frames["changes"].count()
+
+
 def test_enrollments_are_dealt_out_once(spark, no_broadcast, tmp_path):
     """By their place at once: a batch that is not small does not filter them by student first."""
     batch, _ = batch_of(spark, tmp_path)
@@ -255,7 +267,7 @@ def test_line_items_travel_once(spark, no_broadcast):
     from meritpool.sources.starschema import StarSchema
 
     lines = StarSchema(spark, SMALL).read("lineitem").count()
-    for name in ("changes_updated", "changes_results"):
+    for name in ("changes_updated", "changes_results", "summary_after_changes"):
         assert scanned(spark, QUERIES[name](spark, SMALL))("lineitem.parquet") == lines, name
 
 
