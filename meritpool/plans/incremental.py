@@ -53,10 +53,12 @@ def _scored(assignments: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.where(F.col(PERIOD).isNotNull() & F.col("teacher_id").isNotNull())  # as in ``active_scope``
 
 
-def _scores(results: DataFrame, sign: int = 1) -> DataFrame:
+def _scores(results: DataFrame, sign: Column | None = None) -> DataFrame:
+    score = F.col("total_score")
     return results.select(
         PERIOD, "student_id", F.col("grade_at_result").alias("grade"), "grade_track",
-        (F.col("total_score") * sign).alias("score"), F.lit(sign).cast("bigint").alias("n"),
+        (score if sign is None else F.when(sign < 0, -score).otherwise(score)).alias("score"),
+        (F.lit(1) if sign is None else sign).cast("bigint").alias("n"),
     )
 
 
@@ -70,8 +72,8 @@ def score_changes(batch: ChangeBatch) -> DataFrame:
 
     Of the results only those are read that the batch edits.
     """
-    old, new = batch.before_and_after(PERIOD, "student_id", "grade_at_result", "grade_track", "total_score")
-    return _by_match(_scores(old, -1).unionByName(_scores(new)))
+    rows = batch.before_and_after(PERIOD, "student_id", "grade_at_result", "grade_track", "total_score")
+    return _by_match(_scores(rows, F.col("sign")))
 
 
 def sums_after(sums: DataFrame, assignments: DataFrame, changes: DataFrame) -> DataFrame:
